@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from vellum.llm.common import slices
 
 # Unicode White_Space, which is what \s means to the reference pattern (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space and the run of other characters after it: no match of the pattern crosses its ends.
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 

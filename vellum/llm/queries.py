@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe
-from vellum.llm.common import table
+from vellum.llm import bpe, dac
+from vellum.llm.common import materialise, table
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenise(docs, ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), materialise)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_byte_bpe": op7_byte_bpe}
+    own = [op5_token_files, op7_byte_bpe]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
