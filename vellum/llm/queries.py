@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import bpe, dac
+from vellum.llm import bpe, dac, secrets
 from vellum.llm.common import materialise, table
 
 
@@ -17,14 +18,34 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenise(docs, ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = materialise(secrets.scan(table(spark, sf_dir, "documents")), "secrets")
+    found = F.coalesce(F.col("j.found"), F.array().cast(secrets.FOUND))
+    count = lambda kind: F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("bigint")
+    return (
+        scanned.alias("s")
+        .join(secrets.judged(scanned).alias("j"), F.col("s.row") == F.col("j.row"), "left")
+        .select(
+            "doc_id",
+            count(0).alias("n_assign"),
+            count(1).alias("n_access"),
+            count(2).alias("n_hex"),
+            F.sha2(secrets.joined(found, True), 256).alias("base_sha256"),
+            secrets.joined(found, False).alias("spans"),
+            F.size(F.filter(found, lambda x: x["live"])).cast("bigint").alias("n_live"),
+            F.coalesce(F.array_max(F.transform(found, lambda x: x["n_owners"])), F.lit(0)).cast("bigint").alias("most_owners"),
+        )
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), materialise)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op5_token_files, op7_byte_bpe]
+    own = [op4_secret_scan, op5_token_files, op7_byte_bpe]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secret_scan": secrets.SQL}
