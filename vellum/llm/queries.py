@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, dac, secrets
+from vellum.llm import bpe, dac, secrets, warc
 from vellum.llm.common import materialise, table
 
 
@@ -42,10 +42,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), materialise)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_secret_scan, op5_token_files, op7_byte_bpe]
+    own = [op4_secret_scan, op5_token_files, op7_byte_bpe, op10_warc]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secrets.SQL}
+    return {"op4_secret_scan": secrets.SQL, "op10_warc": warc.SQL}
