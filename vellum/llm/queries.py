@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, dac, secrets, warc
+from vellum.llm import bpe, dac, decontaminate, secrets, warc
 from vellum.llm.common import materialise, table
 
 
@@ -18,6 +18,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenise(docs, ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = materialise(secrets.scan(table(spark, sf_dir, "documents")), "secrets")
     found = F.coalesce(F.col("j.found"), F.array().cast(secrets.FOUND))
@@ -47,9 +52,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_secret_scan, op5_token_files, op7_byte_bpe, op10_warc]
+    own = [op3_decontaminate, op4_secret_scan, op5_token_files, op7_byte_bpe, op10_warc]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secrets.SQL, "op10_warc": warc.SQL}
+    return {"op3_decontaminate": decontaminate.SQL, "op4_secret_scan": secrets.SQL, "op10_warc": warc.SQL}
