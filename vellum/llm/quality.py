@@ -76,6 +76,7 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int, rate: flo
     """Adam on the non-negative risk with the logistic loss; returns the mean of the second half's weights."""
     rng = np.random.default_rng(seed)
     w, m, v, t = np.zeros(xp.shape[1] + 1), 0.0, 0.0, 0
+    epochs = max(epochs, -(-800 * batch // len(xu)))  # few rows need as many steps
     total, n_total, steps = 0.0, 0, epochs * -(-len(xu) // batch)
     ap, au = np.c_[xp, np.ones(len(xp))], np.c_[xu, np.ones(len(xu))]
     for _ in range(epochs):

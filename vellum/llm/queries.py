@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, dac, decontaminate, jaccard, quality, secrets, warc
+from vellum.llm import bpe, dac, decontaminate, jaccard, langid, quality, secrets, warc
 from vellum.llm.common import materialise, table
 
 
@@ -57,12 +57,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), materialise)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
+    model = langid.learn(docs.filter(~out))
+    return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op10_warc]
+    own = [op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op10_warc]
     return {f.__name__: f for f in own}
 
 
