@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, dac, decontaminate, jaccard, langid, quality, secrets, warc
+from vellum.llm import bpe, dac, decontaminate, hilbert, jaccard, langid, quality, secrets, warc
 from vellum.llm.common import materialise, table
 
 
@@ -22,6 +22,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenise(docs, ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -69,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op10_warc]
+    own = [op1_hilbert_ann, op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op10_warc]
     return {f.__name__: f for f in own}
 
 
