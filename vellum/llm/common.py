@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,32 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Give memory that a kernel has freed back to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: So many ids (8 bytes each and their hash table, about 100 MB) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``df``, already materialised, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def identified(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` with a column that tells its rows apart: doc_id, or numbers where doc_ids are null or repeated.
+
+    Only ids are grouped to find that out; numbered rows are written first, so that they keep their numbers.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
+    if odd:
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return docs.withColumn(name, F.col("doc_id").cast("bigint"))

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import slices
 
 PAIRS = 512
+#: Standard errors added to a ratio of heads, since the least of many is too low.
+MARGIN = 1.0
 _CLASSES = np.zeros((256, 9), np.float32)
 for _b in range(256):
     _c = chr(_b)
@@ -108,7 +110,8 @@ def class_prior(p_scores: np.ndarray, u_scores: np.ndarray) -> float:
     for q in np.linspace(0.01, 0.8, 80):
         cut = np.quantile(p_scores, q)
         hp, hu = (p_scores >= cut).mean(), (u_scores >= cut).mean()
-        best = min(best, hu / hp)
+        error = np.sqrt((1 - hp) / (hp * len(p_scores)) + (1 - hu) / (max(hu, 1e-9) * len(u_scores)))
+        best = min(best, hu / hp * (1 + MARGIN * error))
     return float(np.clip(best, 0.05, 0.99))
 
 
