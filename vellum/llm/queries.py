@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, dac, decontaminate, hilbert, jaccard, langid, quality, secrets, warc
+from vellum.llm import bpe, dac, decontaminate, hilbert, jaccard, langid, pii, quality, secrets, warc
 from vellum.llm.common import materialise, table
 
 
@@ -68,12 +68,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_ann, op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op10_warc]
+    own = [op1_hilbert_ann, op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op9_pii, op10_warc]
     return {f.__name__: f for f in own}
 
 
