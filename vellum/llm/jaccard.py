@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import shingles as sh
-from vellum.llm.common import materialise, slices
+from vellum.llm.common import materialise, release, slices
 from vellum.llm.components import components
 
 #: Shingles are dealt out by their upper BUCKET_BITS bits; 48 more bits go with each posting.
@@ -42,9 +42,10 @@ def members(docs: DataFrame, text: str = "text", k: int = 5) -> DataFrame:
     """doc_id, node (a set's fingerprint, 0 if empty), n_shingles of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2048):
+        for b in slices(batches, 1024):
             own = [(sh.fingerprint(x), len(x)) for x in sh.sets(b.column(1), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64())], names=["doc_id", "node", "n_shingles"])
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint")
 
@@ -59,7 +60,7 @@ def postings(docs: DataFrame, text: str, k: int) -> DataFrame:
     """Shingles by bucket: for each bucket and batch the nodes, their sizes, how many shingles of each follow, and those (6 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
+        for b in slices(batches, 2048):
             nodes: dict[int, np.ndarray] = {}
             for x in sh.sets(b.column(0), k):
                 if len(x):
@@ -79,6 +80,7 @@ def postings(docs: DataFrame, text: str, k: int) -> DataFrame:
                     own, counts = np.unique(owner[a:z], return_counts=True)
                     packed(rows, i, nodes=ids[own], sizes=sizes[own], counts=counts.astype(np.uint32), low=np.ascontiguousarray(low[a:z]))
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in rows.items()})
+            release()
 
     return docs.select(text).mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, low binary")
 
@@ -134,6 +136,7 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
                     packed(out, i, nodes=own, sizes=size[at][start], counts=counts.astype(np.uint32), low=low[at], df=np.minimum(df[at], 65535).astype(np.uint16))
             if out:
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()})
+        release()
 
     sorted_ = dealt.repartition(dealt.sparkSession.sparkContext.defaultParallelism * 8, "bucket").sortWithinPartitions("bucket")
     return sorted_.mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, low binary, df binary")
@@ -158,6 +161,7 @@ def unsettled(found: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[start[keep]]), pa.array(size[start[keep]]), pa.array([p[: left[i]].view(np.int64) for p, i in zip(pieces, keep, strict=True)], pa.list_(pa.int64())), pa.array([np.sort(p).tobytes() for p in pieces], pa.binary())],
                     names=["node", "n", "pivots", "shingles"])
+        release()
 
     sorted_ = found.repartition(found.sparkSession.sparkContext.defaultParallelism * 8, "bucket").sortWithinPartitions("bucket")
     return sorted_.mapInArrow(run, "node bigint, n bigint, pivots array<bigint>, shingles binary")
