@@ -1,15 +1,475 @@
-"""The registered queries of the note engine."""
+"""The registered queries of the note engine, each beside its DuckDB equivalent."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.config import DEFAULT
+from vellum.functions import markdown as md
+from vellum.functions import text as tx
+from vellum.operators import backlinks, chunking, ingest, judge, lifecycle, registry, vectors
+from vellum.sources import store
+from vellum.sources.notes import notes_from_documents, table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Vectors -------------------------------------------------------------------------------------------------------------
+
+_PAIRS = """pairs AS (SELECT a.vec_id AS q, a.label AS ql, b.vec_id AS v, b.label AS vl,
+  list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label <> b.label),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, v) AS k FROM pairs) WHERE k <= 8)"""
+
+
+def _hits(spark: SparkSession, sf_dir: str, threshold: float | None) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vec"))
+    return vectors.knn(v, v, 8, threshold=threshold)
+
+
+@query(f"WITH {_PAIRS} SELECT q AS query_id, CAST(k AS INTEGER) AS rank, v AS vec_id, round(s, 6) AS similarity FROM top")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, None).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_PAIRS} SELECT q AS query_id, CAST(k AS INTEGER) AS rank, v AS vec_id, round(s, 4) AS similarity FROM top WHERE s >= 0.3")
+def knn_exclude_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, 0.3).select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 4).alias("similarity"))
+
+
+@query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 7),
+t AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) AS s FROM embeddings, q WHERE vec_id <> 7 ORDER BY s DESC, vec_id LIMIT 5)
+SELECT vec_id, round(s, 4) AS similarity FROM t WHERE s >= 0.1""")
+def single_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = v.filter("id = 7").first()["vec"]
+    top = vectors.search(F.array(*[F.lit(float(x)) for x in asked]), v, 5, threshold=0.1, exclude=F.col("id") != 7)
+    return top.select(F.col("id").alias("vec_id"), F.round("similarity", 4).alias("similarity"))
+
+
+@query("""WITH n AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS u FROM embeddings)
+SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(list_sum(u), 6) AS total FROM n""")
+def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "embeddings").select("vec_id", vectors.unit(F.col("embedding")).alias("u"))
+    return u.select("vec_id", F.round(vectors.norm(F.col("u")), 6).alias("norm"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+_BEST = f"""WITH {_PAIRS}, hits AS (SELECT ql AS src, vl AS target, q AS chunk, k AS rank, s AS sim FROM top WHERE s >= 0.3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, target ORDER BY round(sim, 4) DESC, chunk, rank) AS n FROM hits) WHERE n = 1)"""
+
+
+def _label_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hits(spark, sf_dir, 0.3)
+    return h.select(F.col("query_grp").alias("src"), F.col("grp").alias("target"), F.col("query_id").alias("chunk"), "rank", F.col("similarity").alias("sim"))
+
+
+@query(f"{_BEST} SELECT CAST(src AS BIGINT) AS src, CAST(target AS BIGINT) AS target, chunk, round(sim, 4) AS sim FROM best")
+def best_hit_per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backlinks.best_hits(_label_hits(spark, sf_dir)).select("src", "target", "chunk", F.round("sim", 4).alias("sim"))
+
+
+@query(f"""{_BEST}, f AS (SELECT src, target, min(struct_pack(chunk := chunk, rank := rank)) AS first FROM hits GROUP BY src, target)
+SELECT CAST(src AS BIGINT) AS src, CAST(target AS BIGINT) AS target, CAST(row_number() OVER (PARTITION BY src ORDER BY first, target) - 1 AS INTEGER) AS candidate_id FROM f""")
+def candidate_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backlinks.numbered(_label_hits(spark, sf_dir)).select("src", "target", F.col("candidate_id").cast("int").alias("candidate_id"))
+
+
+@query(f"""{_BEST} SELECT CAST(src AS BIGINT) AS src, CAST(target AS BIGINT) AS target FROM best
+WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 10 = src AND n_regionkey = target)""")
+def drop_existing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 10).cast("bigint").alias("src"), F.col("n_regionkey").cast("string").alias("title"))
+    best = backlinks.best_hits(_label_hits(spark, sf_dir)).withColumn("title", F.col("target").cast("string"))
+    return backlinks.not_linked(best, links).select("src", "target")
+
+
+@query(f"""{_BEST}, c AS (SELECT src, target, CAST(row_number() OVER (PARTITION BY src ORDER BY target) - 1 AS INTEGER) AS candidate_id, sim FROM best)
+SELECT CAST(src AS BIGINT) AS src, string_agg('- [[' || target || ']] — ' || printf('%.3f', sim), chr(10) ORDER BY target) AS lines FROM c GROUP BY src""")
+def backlink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = backlinks.best_hits(_label_hits(spark, sf_dir))
+    links = best.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("target", F.col("target").cast("string").alias("title"), F.format_string("%.3f", "sim").alias("reason")))).alias("links"))
+    return links.select("src", F.array_join(md.link_lines(F.col("links")), "\n").alias("lines"))
+
+
+@query("""SELECT doc_id AS src, CAST(doc_id % 4 AS INTEGER) AS candidate_id FROM labels WHERE quality = 1 AND toxic = 0""")
+def judge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = table(spark, sf_dir, "labels")
+    cand = lab.select(F.col("doc_id").alias("src"), (F.col("doc_id") % 4).cast("int").alias("candidate_id"))
+    said = lab.select(F.col("doc_id").alias("src"), (F.col("doc_id") % 4).cast("int").alias("candidate_id"), (F.col("quality") == 1).alias("should_link"), F.when(F.col("toxic") == 1, "none").alias("link_type"), F.lit("").alias("reason"))
+    return backlinks.decided(cand, said).select("src", "candidate_id")
+
+
+# Text ----------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
+SELECT doc_id, CAST(n AS INTEGER) AS n_words, CAST(greatest(1, n * 4 // 3) AS INTEGER) AS n_tokens FROM w""")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("n_words"), tx.tokens(tx.words(F.col("text"))).alias("n_tokens"))
+
+
+@query("""WITH w AS (SELECT greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) * 4 // 3) AS t FROM documents)
+SELECT CASE WHEN t < 50 THEN 'small' WHEN t > 350 THEN 'large' ELSE 'fit' END AS size_class, count(*) AS n_docs FROM w GROUP BY 1""")
+def size_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tx.tokens(tx.words(F.col("text")))
+    kind = F.when(t < DEFAULT.min_tokens, "small").when(t > DEFAULT.max_tokens, "large").otherwise("fit")
+    return table(spark, sf_dir, "documents").groupBy(kind.alias("size_class")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("""SELECT doc_id, substr(text, 1, 300) AS e300, substr(text, 1, 1200) AS e1200, CAST(length(substr(text, 1, 1500)) AS INTEGER) AS n FROM documents""")
+def doc_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.excerpt(F.col("text"), 300).alias("e300"), tx.excerpt(F.col("text"), 1200).alias("e1200"), F.length(tx.excerpt(F.col("text"), 1500)).alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+_NOTES = """notes AS (SELECT doc_id, 'vault/' || source || '/' || doc_id || '.md' AS file_path, '---' || chr(10) || 'title: "' || doc_id || '"' || chr(10) || 'tags: [' || source || ', ' || lang || ']' || chr(10)
+  || '---' || chr(10) || chr(10) || '# Note ' || doc_id || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Related Notes' || chr(10) || chr(10)
+  || '- [[' || (doc_id + 1) || ']] — near' || chr(10) AS text FROM documents)"""
+
+
+@query(f"""WITH {_NOTES}, b AS (SELECT doc_id, substr(text, 4) AS r FROM notes), c AS (SELECT doc_id, substr(r, strpos(r, '---') + 3) AS t FROM b),
+s AS (SELECT doc_id, trim(regexp_extract(t, '(?s)^(.*?)\n## Related Notes\n', 1), chr(10) || ' ') AS body FROM c) SELECT doc_id, sha256(body) AS body_hash FROM s""")
+def body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes_from_documents(spark, sf_dir).select("doc_id", F.sha2(md.body(F.col("text")), 256).alias("body_hash"))
+
+
+@query(f"""WITH {_NOTES} SELECT doc_id, regexp_extract(text, 'title: (.*)', 1) AS title,
+array_to_string(list_transform(string_split(regexp_extract(text, 'tags: \\[(.*)\\]', 1), ','), lambda x: trim(x)), '|') AS tags FROM notes""")
+def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes_from_documents(spark, sf_dir)
+    return n.select("doc_id", md.field(F.col("text"), "title").alias("title"), F.array_join(md.field_list(F.col("text"), "tags"), "|").alias("tags"))
+
+
+@query(f"""WITH {_NOTES} SELECT doc_id, array_to_string(regexp_extract_all(substr(text, strpos(text, '## Related Notes')), '\\[\\[([^\\]]+)\\]\\]', 1), '|') AS titles FROM notes""")
+def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes_from_documents(spark, sf_dir).select("doc_id", F.array_join(md.linked_titles(F.col("text")), "|").alias("titles"))
+
+
+@query(f"""WITH {_NOTES} SELECT doc_id, sha256(replace(regexp_replace(text, 'tags: \\[.*\\]', 'tags: [' || lang2 || ', new]'), '— near' || chr(10), '— near' || chr(10) || '- [[x]] — y' || chr(10))) AS after
+FROM (SELECT n.doc_id, n.text, d.lang AS lang2 FROM notes n JOIN documents d USING (doc_id))""")
+def markdown_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes_from_documents(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    tagged = md.set_list(F.col("text"), "tags", F.array("lang", F.lit("new")))
+    link = F.array(F.struct((F.col("doc_id") + 1).cast("string").alias("title"), F.lit("old").alias("reason")), F.struct(F.lit("x").alias("title"), F.lit("y").alias("reason")))
+    return n.withColumn("text", tagged).select("doc_id", F.sha2(md.add_links(F.col("text"), link), 256).alias("after"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'v/' || page_id || '.md' WHEN 1 THEN 'v/.' || page_id || '.md' WHEN 2 THEN 'v/~' || page_id || '.md'
+  WHEN 3 THEN 'templates/' || page_id || '.md' WHEN 4 THEN 'v/_' || page_id || '.md' ELSE url END AS path FROM pages)
+SELECT page_id, path FROM p WHERE path LIKE '%.md' AND NOT regexp_matches(path, '/[.~][^/]*$') AND NOT list_has_any(string_split(path, '/'), ['.obsidian', 'attachments', 'templates', '_templates', '.trash'])""")
+def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    made = [F.concat(F.lit(a), i, F.lit(".md")) for a in ("v/", "v/.", "v/~", "templates/", "v/_")]
+    path = F.col("url")
+    for k, m in enumerate(made):
+        path = F.when(F.col("page_id") % 6 == k, m).otherwise(path)
+    p = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return p.filter(tx.relevant_path(F.col("path"), DEFAULT.ignored_dirs))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("answer", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+    return e.select("event_id", F.from_json(tx.json_object(F.col("answer")), "k int")["k"].alias("k"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(p_name || ' ' || p_type)), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') AS slug FROM part""")
+def tag_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", tx.tag_slug(F.concat_ws(" ", "p_name", "p_type")).alias("slug"))
+
+
+@query("""SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name || '. ' || c_mktsegment), '[^a-z0-9\\s]', '', 'g'), '\\s+', '-', 'g'), '-') AS slug FROM customer""")
+def entity_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.entity_slug(F.concat(F.col("c_name"), F.lit(". "), F.col("c_mktsegment"))).alias("slug"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%y') || CASE WHEN o_orderkey % 5 = 0 THEN ' - Entry' ELSE ' - ' || replace(o_orderpriority || ': x', ':', '-') END AS page_id FROM orders""")
+def page_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(F.concat(F.col("o_orderpriority"), F.lit(": x")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.page_id(title, F.date_format("o_orderdate", "dd/MM/yy")).alias("page_id"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 50 + 2 AS DOUBLE) WHEN event_id % 3 = 1 THEN 10.0 END AS delay FROM events""")
+def retry_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    message = F.when(i % 3 == 0, F.concat(F.lit('429 too many, retryDelay: "'), (i % 50).cast("string"), F.lit('s"'))).when(i % 3 == 1, "RESOURCE_EXHAUSTED").otherwise("500 server")
+    return table(spark, sf_dir, "events").select("event_id", tx.retry_delay(message).alias("delay"))
+
+
+# Chunks --------------------------------------------------------------------------------------------------------------
+
+_LINES = """lines AS (SELECT doc_id, i AS pos, parts[i + 1] AS line, len(list_filter(string_split_regex(parts[i + 1], '\\s+'), lambda x: x <> '')) AS n_words
+  FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("n_words", tx.words(F.col("line")))
+
+
+@query(f"""WITH {_NOTES}, l AS (SELECT doc_id, i, parts[i + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM notes)))
+SELECT CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.+$') THEN 'heading' WHEN regexp_matches(trim(line), '^-{{3,}}$') THEN 'rule' WHEN regexp_matches(line, '^(\\s*[-*+]|\\s*\\d+\\.)\\s') THEN 'bullet'
+  WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind, count(*) AS n FROM l GROUP BY 1""")
+def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("line")
+    kind = F.when(line.rlike(r"^#{1,6}\s+.+$"), "heading").when(tx.strip(line).rlike("^-{3,}$"), "rule").when(line.rlike(r"^(\s*[-*+]|\s*\d+\.)\s"), "bullet").when(tx.strip(line) == "", "blank").otherwise("text")
+    return chunking.lines_of(notes_from_documents(spark, sf_dir), "doc_id", "text").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, pos, sum(CASE WHEN regexp_matches(line, '\\d{{1,2}}[/-]\\d{{1,2}}') AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM lines)
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, count(*) AS n_lines FROM s GROUP BY ALL""")
+def timestamp_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.quote_segments(_lines(spark, sf_dir), "doc_id").groupBy("doc_id", "seg").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"""WITH {_LINES}, g AS (SELECT *, sum(CASE WHEN n_words >= 38 OR pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM lines)
+SELECT doc_id, CAST(g - 1 AS INTEGER) AS idx, CAST(min(pos) AS INTEGER) AS first_pos, CAST(count(*) AS INTEGER) AS n_parts, sha256(string_agg(line, chr(10) || chr(10) ORDER BY pos)) AS digest FROM g GROUP BY doc_id, g""")
+def tiny_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.merge_small(_lines(spark, sf_dir), "doc_id").select("doc_id", "idx", "first_pos", "n_parts", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"""WITH RECURSIVE {_LINES}, p AS (SELECT doc_id, pos, n_words AS acc, 0 AS g FROM lines WHERE pos = 0
+UNION ALL SELECT l.doc_id, l.pos, CASE WHEN greatest(1, (p.acc + l.n_words) * 4 // 3) > 350 THEN l.n_words ELSE p.acc + l.n_words END, CASE WHEN greatest(1, (p.acc + l.n_words) * 4 // 3) > 350 THEN p.g + 1 ELSE p.g END
+FROM p JOIN lines l ON l.doc_id = p.doc_id AND l.pos = p.pos + 1)
+SELECT doc_id, g AS pack, CAST(count(*) AS INTEGER) AS n_lines, CAST(max(acc) AS INTEGER) AS n_words FROM p GROUP BY doc_id, g HAVING max(acc) >= 38""")
+def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n", -1), tx.words).alias("sizes"))
+    packs = lines.select("doc_id", F.explode(F.arrays_zip(F.col("sizes").alias("n"), chunking.pack(F.col("sizes")).alias("g"))).alias("x")).groupBy("doc_id", F.col("x.g").alias("pack"))
+    out = packs.agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum("x.n").cast("int").alias("n_words"))
+    return out.filter(F.col("n_words") >= 38)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '## user' || chr(10) || chr(10) || text ELSE regexp_replace(text, '(?m)^', CASE role WHEN 'assistant' THEN '> ' ELSE '- ' END, 'g') END AS part FROM conversations)
+SELECT conv_id, sha256(string_agg(part, chr(10) || chr(10) ORDER BY turn)) AS digest, CAST(count(*) AS INTEGER) AS n_turns FROM t GROUP BY conv_id""")
+def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    marked = lambda mark: F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit(mark), x)), "\n")
+    part = F.when(F.col("role") == "user", F.concat(F.lit("## user\n\n"), "text")).when(F.col("role") == "assistant", marked("> ")).otherwise(marked("- "))
+    turns = c.withColumn("part", part).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("t"))
+    return turns.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: x["part"]), "\n\n"), 256).alias("digest"), F.size("t").alias("n_turns"))
+
+
+# Registries ----------------------------------------------------------------------------------------------------------
+
+_TAGS = """tagged AS (SELECT DISTINCT doc_id AS doc, tag, first AS at FROM (SELECT doc_id, trim(regexp_replace(lower(w), '[^a-z0-9-]+', '-', 'g'), '-') AS tag, min(i) AS first
+  FROM (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS ws FROM documents)) GROUP BY ALL)
+  WHERE tag <> '' AND tag NOT IN ('thoughts', 'life', 'general', 'misc', 'journal', 'entry', 'note', 'notes', 'today', 'day') AND length(tag) >= 3)"""
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\s+", -1)).alias("at", "w"))
+    slug = tx.tag_slug(F.col("w"))
+    return words.withColumn("tag", slug).filter(tx.accepted_tag(F.col("tag")) & (F.length("tag") >= 3)).groupBy("doc", "tag").agg(F.min("at").alias("at"))
+
+
+@query(f"WITH {_TAGS} SELECT tag, count(DISTINCT doc) AS n_docs FROM tagged GROUP BY tag")
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.tag_counts(_tags(spark, sf_dir))
+
+
+@query(f"WITH {_TAGS}, c AS (SELECT tag, count(DISTINCT doc) AS n FROM tagged GROUP BY tag HAVING count(DISTINCT doc) >= 2) SELECT doc, count(*) AS n_tags, sum(n)::BIGINT AS total FROM (SELECT DISTINCT doc, tag FROM tagged) JOIN c USING (tag) GROUP BY doc")
+def tag_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.promoted(_tags(spark, sf_dir)).groupBy("doc").agg(F.count(F.lit(1)).alias("n_tags"), F.sum("n_docs").alias("total"))
+
+
+@query(f"WITH {_TAGS}, f AS (SELECT doc, tag, min(at) AS at FROM tagged GROUP BY ALL) SELECT doc, tag, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY at, tag) AS k FROM f) WHERE k <= 8")
+def tag_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.capped(_tags(spark, sf_dir), "at")
+
+
+@query("""WITH t AS (SELECT DISTINCT source AS tag, doc_id AS doc FROM documents UNION SELECT lang, doc_id FROM documents), l AS (SELECT tag, count(*) AS n FROM t WHERE doc NOT IN (SELECT doc_id FROM documents WHERE source = 'src3') GROUP BY tag)
+SELECT DISTINCT t.tag, coalesce(n, 0) AS n_docs FROM t LEFT JOIN l USING (tag)""")
+def tag_remove_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    tagged = d.select(F.explode(F.array("source", "lang")).alias("tag"), F.col("doc_id").alias("doc"))
+    return registry.without_documents(tagged, d.filter("source = 'src3'").select(F.col("doc_id").alias("doc")))
+
+
+@query("""WITH a AS (SELECT lower(c_name) AS alias, max_by(c_mktsegment, c_custkey) AS canonical FROM customer GROUP BY 1),
+m AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN upper('Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) ELSE s_name END AS surface, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS canonical FROM supplier)
+SELECT s_suppkey, coalesce(a1.canonical, a2.canonical, nullif(m.canonical, ''), surface) AS entity FROM m LEFT JOIN a a1 ON lower(surface) = a1.alias LEFT JOIN a a2 ON lower(coalesce(nullif(m.canonical, ''), surface)) = a2.alias""")
+def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = table(spark, sf_dir, "customer").select(F.col("c_name").alias("alias"), F.col("c_mktsegment").alias("canonical"), F.col("c_custkey").alias("seq"))
+    i = F.col("s_suppkey")
+    surface = F.when(i % 2 == 0, F.upper(F.concat(F.lit("Customer#"), F.lpad(i.cast("string"), 9, "0")))).otherwise(F.col("s_name"))
+    mentions = table(spark, sf_dir, "supplier").select("s_suppkey", surface.alias("surface"), F.when(i % 3 == 0, "").otherwise(F.col("s_name")).alias("canonical"))
+    return registry.resolved(mentions, aliases).select("s_suppkey", "entity")
+
+
+@query("""SELECT lower(c_mktsegment) AS alias, max_by(c_name, c_custkey) AS canonical FROM customer GROUP BY 1""")
+def entity_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.alias_map(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("alias"), F.col("c_name").alias("canonical"), F.col("c_custkey").alias("seq")))
+
+
+@query("""SELECT source AS tag, 'set' AS kind, CAST(1 AS BIGINT) AS n FROM (SELECT source FROM documents UNION SELECT lang FROM documents)
+UNION ALL SELECT source, 'all', count(*) FROM (SELECT source FROM documents UNION ALL SELECT lang FROM documents) GROUP BY source""")
+def union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    every = d.select(F.explode(F.array("source", "lang")).alias("tag"))
+    return every.distinct().select("tag", F.lit("set").alias("kind"), F.lit(1).cast("bigint").alias("n")).unionAll(every.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select("tag", F.lit("all").alias("kind"), "n"))
+
+
+# State and storage ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS file_path, 'DIRTY' AS current_state, CAST(n_chars AS DOUBLE) AS last_edit_time FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
+def bootstrap_untracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), F.col("n_chars").cast("double").alias("mtime"))
+    return lifecycle.bootstrap(files, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_path")))
+
+
+@query("SELECT doc_id, n_chars, 'old' AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, CAST(quality AS BIGINT), 'new' FROM labels")
+def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit("old").alias("version"))
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("n_chars"), F.lit("new").alias("version"))
+    return store.upserted(base, new, ["doc_id"])
+
+
+@query("SELECT source, count(*) AS n_left FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source")
+def delete_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1")
+    return store.deleted(table(spark, sf_dir, "documents").select("doc_id", "source"), gone, ["doc_id"]).groupBy("source").agg(F.count(F.lit(1)).alias("n_left"))
+
+
+@query("""WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 1), b AS (SELECT doc_id AS path, CASE WHEN doc_id % 3 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 2)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS event_type FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    before = d.filter("path % 5 <> 1").select("path", F.sha2("text", 256).alias("hash"))
+    now = d.filter("path % 5 <> 2").select("path", F.sha2(F.when(F.col("path") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("hash"))
+    return lifecycle.snapshot_diff(before, now)
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts_s"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _debounce_sql(gap: int) -> str:
+    return f"""WITH e AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < {gap} THEN 0 ELSE 1 END AS s FROM e),
+n AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT key, session::BIGINT AS session, min(t) AS first, max(t) AS last, count(*) AS n_edits FROM n GROUP BY key, session"""
+
+
+@query(_debounce_sql(200))
+def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.debounce(_edits(spark, sf_dir), "key", "ts_s", DEFAULT.stabilise_s)
+
+
+@query(_debounce_sql(3600))
+def debounce_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.debounce(_edits(spark, sf_dir), "key", "ts_s", 3600)
+
+
+_STATE = "CASE event_type WHEN 'signup' THEN 'DIRTY' WHEN 'purchase' THEN 'STABILIZING' WHEN 'view' THEN 'INDEXED' WHEN 'click' THEN 'READY_FOR_REASONING' ELSE 'REASONED' END"
+
+
+@query(f"""WITH s AS (SELECT user_id, {_STATE} AS state, lag({_STATE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT before, state, count(*) AS n, before || '>' || state IN ({", ".join(f"'{a}>{b}'" for a, b in lifecycle.TRANSITIONS)}) AS ok FROM s WHERE before IS NOT NULL GROUP BY ALL""")
+def transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(_STATE).alias("state"))
+    return lifecycle.transitions(e, "user_id", ["ts", "event_id"]).groupBy("before", "state", "ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT d.doc_id AS file_path, CASE d.doc_id % 4 WHEN 0 THEN 'DIRTY' WHEN 1 THEN 'STABILIZING' WHEN 2 THEN 'INDEXED' ELSE 'REASONED' END AS st, CAST(d.n_chars AS DOUBLE) AS edit,
+  CASE WHEN quality = 1 THEN sha256(text) END AS ch, CASE WHEN toxic = 1 THEN sha256(text) END AS rh, CASE WHEN d.doc_id % 7 = 0 THEN 1.0 END AS it, sha256(text) AS h, d.doc_id % 11 <> 0 AS present, length(text) // 500 AS chunks
+  FROM documents d LEFT JOIN labels USING (doc_id)), t AS (SELECT *, st = 'STABILIZING' OR (st = 'DIRTY' AND 3000 - edit >= 200) AS turn, h IS NOT DISTINCT FROM rh AS as_r, coalesce(h = ch AND it IS NOT NULL, false) AS as_i FROM s)
+SELECT file_path, st AS before, CASE WHEN NOT turn THEN st WHEN NOT present THEN NULL WHEN as_r THEN 'REASONED' ELSE 'INDEXED' END AS after, turn AND present AND NOT as_r AND NOT as_i AND chunks > 0 AS embed, turn AND NOT present AS removed FROM t""")
+def index_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    i, h = F.col("doc_id"), F.sha2("text", 256)
+    state = F.when(i % 4 == 0, "DIRTY").when(i % 4 == 1, "STABILIZING").when(i % 4 == 2, "INDEXED").otherwise("REASONED")
+    states = d.select(i.alias("file_path"), state.alias("current_state"), F.col("n_chars").cast("double").alias("last_edit_time"), F.when(F.col("quality") == 1, h).alias("content_hash"),
+                      F.when(F.col("toxic") == 1, h).alias("last_reasoned_hash"), F.lit(None).cast("string").alias("last_reasoned_body_hash"), F.when(i % 7 == 0, 1.0).alias("last_index_time"))
+    files = table(spark, sf_dir, "documents").filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("file_path"), h.alias("hash"), F.lit("").alias("body_hash"), F.floor(F.length("text") / 500).alias("n_chunks"))
+    return lifecycle.index_tick(states, files, F.lit(3000.0))
+
+
+@query("""WITH s AS (SELECT user_id AS file_path, max(epoch_us(ts)) / 1e6 AS last_reason_time FROM events GROUP BY 1) SELECT file_path, last_reason_time FROM s WHERE 1706500000.0 - last_reason_time >= 600 ORDER BY file_path LIMIT 16""")
+def cooldown_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _edits(spark, sf_dir).groupBy(F.col("key").alias("file_path")).agg(F.max("ts_s").alias("last_reason_time")).withColumn("current_state", F.lit("INDEXED"))
+    return lifecycle.reason_tick(s, F.lit(1706500000.0)).select("file_path", "last_reason_time")
+
+
+@query("""WITH e AS (SELECT event_id AS id, event_type AS provider, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events)
+SELECT id, round(max(t - 12 * i) OVER (PARTITION BY provider ORDER BY t, id ROWS UNBOUNDED PRECEDING) + 12 * i, 3) AS slot FROM e""")
+def rate_limit_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("provider"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return judge.slots(e, "provider", "t", 60 / DEFAULT.requests_per_minute).select("id", F.round("slot", 3).alias("slot"))
+
+
+@query("""WITH m AS (SELECT n_name AS model, n_nationkey AS p FROM nation WHERE n_nationkey < 6), f AS (SELECT DISTINCT user_id, event_id % 6 AS p FROM events WHERE event_type = 'error'), r AS (SELECT DISTINCT user_id FROM events)
+SELECT r.user_id AS request, (SELECT min_by(model, m.p) FROM m WHERE m.p NOT IN (SELECT f.p FROM f WHERE f.user_id = r.user_id)) AS model FROM r""")
+def fallback_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = table(spark, sf_dir, "nation").filter("n_nationkey < 6").select(F.col("n_name").alias("model"), F.col("n_nationkey").alias("priority"))
+    e = table(spark, sf_dir, "events")
+    bad = e.filter("event_type = 'error'").select(F.col("user_id").alias("request"), (F.col("event_id") % 6).cast("int").alias("priority")).join(F.broadcast(models), "priority")
+    return judge.route(e.select(F.col("user_id").alias("request")).distinct(), bad, models)
+
+
+@query("""SELECT 'vault/' || source || '/' || doc_id || '.md' AS file, 'indexed' AS action, n_chars, lang FROM documents""")
+def mutation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("file_path", F.concat(F.lit("vault/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    log = store.mutation_log(d, "indexed", ["n_chars", "lang"])
+    return log.select("file", "action", F.from_json("detail", "n_chars bigint, lang string").alias("d")).select("file", "action", "d.*")
+
+
+@query("""SELECT p_partkey, least(1.0, 2048.0 / (p_size * 100), 2048.0 / (p_partkey % 4000 + 1)) AS scale FROM part""")
+def image_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", ingest.scale((F.col("p_size") * 100).cast("double"), (F.col("p_partkey") % 4000 + 1).cast("double")).alias("scale"))
+
+
+# Whole pipelines: rows only ------------------------------------------------------------------------------------------
+
+
+@query()
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_notes(notes_from_documents(spark, sf_dir)).drop("text")
+
+
+@query()
+def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three of all notes' chunks for the first chunk of each conversation."""
+    chunks = vectors.embed(chunking.chunk_notes(notes_from_documents(spark, sf_dir)))
+    asked = vectors.embed(table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "text"), prefix="")
+    q = asked.select(F.col("conv_id").alias("id"), F.lit(-1).alias("grp"), F.col("embedding").alias("vec"))
+    c = chunks.select(F.xxhash64("file_path", "index").alias("id"), F.lit(0).alias("grp"), F.col("embedding").alias("vec"))
+    return vectors.knn(q, c, 3).select("query_id", "rank", F.round("similarity", 4).alias("similarity"))
+
+
+@query()
+def link_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, embeddings, candidates, the stub judge's verdicts, and each note's new links."""
+    chunks = vectors.embed(chunking.chunk_notes(notes_from_documents(spark, sf_dir).filter("doc_id % 10 = 0")))
+    v = chunks.select(F.xxhash64("file_path", "index").alias("id"), F.xxhash64("file_path").alias("grp"), F.col("embedding").alias("vec"))
+    hits = vectors.knn(v, v, DEFAULT.top_k, threshold=DEFAULT.threshold)
+    h = hits.select(F.col("query_grp").alias("src"), F.col("grp").alias("target"), F.col("query_id").alias("chunk"), "rank", F.col("similarity").alias("sim"))
+    best = backlinks.best_hits(h).join(backlinks.numbered(h), ["src", "target"])
+    titles = chunks.select(F.xxhash64("file_path").alias("target"), tx.stem(F.col("file_path")).alias("title"), F.col("heading"), tx.excerpt(F.col("text"), 300).alias("excerpt"), "index").filter("index = 0").drop("index")
+    cand = best.join(titles, "target")
+    notes = titles.select(F.col("target").alias("src"), "excerpt", F.array().cast("array<string>").alias("titles"))
+    answers = judge.call(backlinks.prompts(cand, notes))
+    return backlinks.decided(cand.select("src", "candidate_id", "title", F.round("sim", 4).alias("sim")), judge.verdicts(answers)).select("src", "title", "sim", "reason")
