@@ -276,7 +276,7 @@ def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Registries ----------------------------------------------------------------------------------------------------------
 
-_TAGS = """tagged AS (SELECT DISTINCT doc_id AS doc, tag, first AS at FROM (SELECT doc_id, trim(regexp_replace(lower(w), '[^a-z0-9-]+', '-', 'g'), '-') AS tag, min(i) AS first
+_TAGS = """tagged AS (SELECT DISTINCT doc_id AS doc, tag, first_at AS pos FROM (SELECT doc_id, trim(regexp_replace(lower(w), '[^a-z0-9-]+', '-', 'g'), '-') AS tag, min(i) AS first_at
   FROM (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS ws FROM documents)) GROUP BY ALL)
   WHERE tag <> '' AND tag NOT IN ('thoughts', 'life', 'general', 'misc', 'journal', 'entry', 'note', 'notes', 'today', 'day') AND length(tag) >= 3)"""
 
@@ -297,7 +297,7 @@ def tag_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.promoted(_tags(spark, sf_dir)).groupBy("doc").agg(F.count(F.lit(1)).alias("n_tags"), F.sum("n_docs").alias("total"))
 
 
-@query(f"WITH {_TAGS}, f AS (SELECT doc, tag, min(at) AS at FROM tagged GROUP BY ALL) SELECT doc, tag, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY at, tag) AS k FROM f) WHERE k <= 8")
+@query(f"WITH {_TAGS}, f AS (SELECT doc, tag, min(pos) AS pos FROM tagged GROUP BY ALL) SELECT doc, tag, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos, tag) AS k FROM f) WHERE k <= 8")
 def tag_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.capped(_tags(spark, sf_dir), "at")
 
