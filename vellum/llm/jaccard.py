@@ -28,9 +28,15 @@ from vellum.llm import shingles as sh
 from vellum.llm.common import materialise, release, slices
 from vellum.llm.components import components
 
-#: Shingles are dealt out by their upper BUCKET_BITS bits; 48 more bits go with each posting.
-BUCKET_BITS = 8
+#: With each posting go 48 bits of its shingle, beside those of its bucket.
 KEPT = np.uint64((1 << 48) - 1)
+#: Postings that a bucket holds at most, on average: a task needs about 60 bytes for each.
+PER_BUCKET = 4_000_000
+
+
+def bucket_bits(n_postings: int) -> int:
+    """Upper bits by which shingles are dealt out: 7 to 16, by the size of the corpus."""
+    return min(16, max(7, (max(1, n_postings) // PER_BUCKET).bit_length()))
 
 
 def window(n: np.ndarray, percent: int) -> np.ndarray:
@@ -56,7 +62,7 @@ def packed(rows: dict[str, list], bucket: int, **columns: np.ndarray) -> None:
         rows.setdefault(name, []).append(x.tobytes())
 
 
-def postings(docs: DataFrame, text: str, k: int) -> DataFrame:
+def postings(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
     """Shingles by bucket: for each bucket and batch the nodes, their sizes, how many shingles of each follow, and those (6 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +75,13 @@ def postings(docs: DataFrame, text: str, k: int) -> DataFrame:
                 continue
             ids, sizes = np.fromiter(nodes, np.int64, len(nodes)), np.array([len(x) for x in nodes.values()], np.int32)
             every, owner = np.concatenate(list(nodes.values())), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-            bucket = (every >> np.uint64(64 - BUCKET_BITS)).astype(np.uint8)
+            bucket = (every >> np.uint64(64 - bits)).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange((1 << BUCKET_BITS) + 1))
+            ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
             low = (every[order] & KEPT).view(np.uint8).reshape(-1, 8)[:, :6]
             owner = owner[order]
             rows: dict[str, list] = {}
-            for i in range(1 << BUCKET_BITS):
+            for i in range(1 << bits):
                 if (a := ends[i]) < (z := ends[i + 1]):
                     own, counts = np.unique(owner[a:z], return_counts=True)
                     packed(rows, i, nodes=ids[own], sizes=sizes[own], counts=counts.astype(np.uint32), low=np.ascontiguousarray(low[a:z]))
@@ -103,6 +109,11 @@ def column(rows: list[dict], name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[name] for r in rows), kind)
 
 
+def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """Buckets whole and in order within partitions, about two of them in each."""
+    return df.repartition(max(buckets // 2, df.sparkSession.sparkContext.defaultParallelism * 4), "bucket").sortWithinPartitions("bucket")
+
+
 def shared(dealt: DataFrame, parts: int) -> DataFrame:
     """Postings of the shingles that two nodes or more have, with that number, dealt out by node."""
 
@@ -112,7 +123,7 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
             node, size = np.repeat(column(rows, "nodes", "<i8"), counts), np.repeat(column(rows, "sizes", "<i4"), counts)
             low = np.zeros((len(node), 8), np.uint8)
             low[:, :6] = column(rows, "low", "u1").reshape(-1, 6)
-            low = low.view("<u8").ravel() | np.uint64(bucket) << np.uint64(48)
+            low = low.view("<u8").ravel() | np.uint64(bucket) << np.uint64(48)  # 16 bits at most
             order = np.argsort(low, kind="stable")
             low, node, size = low[order], node[order], size[order]
             first = np.concatenate(([True], low[1:] != low[:-1]))
@@ -138,11 +149,10 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()})
         release()
 
-    sorted_ = dealt.repartition(dealt.sparkSession.sparkContext.defaultParallelism * 8, "bucket").sortWithinPartitions("bucket")
-    return sorted_.mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, low binary, df binary")
+    return by_bucket(dealt, parts).mapInArrow(run, "bucket int, nodes binary, sizes binary, counts binary, low binary, df binary")
 
 
-def unsettled(found: DataFrame, percent: int) -> DataFrame:
+def unsettled(found: DataFrame, percent: int, parts: int) -> DataFrame:
     """Nodes whose window has a region with others: node, n, pivots (the regions), shingles (all shared ones, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +173,7 @@ def unsettled(found: DataFrame, percent: int) -> DataFrame:
                     names=["node", "n", "pivots", "shingles"])
         release()
 
-    sorted_ = found.repartition(found.sparkSession.sparkContext.defaultParallelism * 8, "bucket").sortWithinPartitions("bucket")
-    return sorted_.mapInArrow(run, "node bigint, n bigint, pivots array<bigint>, shingles binary")
+    return by_bucket(found, parts).mapInArrow(run, "node bigint, n bigint, pivots array<bigint>, shingles binary")
 
 
 class Region:
@@ -341,8 +350,8 @@ def linked(nodes: DataFrame, percent: int, most: int = 2_000_000, levels: int =
 def jaccard_components(docs: DataFrame, *, text: str = "text", k: int = 5, percent: int = 80, most: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
     all_docs = materialise(members(docs, text, k), "members")
-    parts = 1 << BUCKET_BITS
-    nodes = materialise(unsettled(shared(postings(docs, text, k), parts), percent), "unsettled")
+    bits = bucket_bits(all_docs.agg(F.sum("n_shingles")).first()[0] or 0)
+    nodes = materialise(unsettled(shared(postings(docs, text, k, bits), 1 << bits), percent, 1 << bits), "unsettled")
     links = linked(nodes, percent, most)
     per_node = all_docs.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     star = links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
