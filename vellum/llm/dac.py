@@ -33,6 +33,9 @@ BLOCK = 512
 # Unicode White_Space (fixed values).
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+#: Marks that are one match together wherever they follow letters.
+TAIL = ".,;:!?%$#&*|()"
+
 
 def pack(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels of (chunks, bitmap, rank directory); the last has no marks."""
@@ -116,13 +119,17 @@ class Reader:
 class Encoder:
     """Ids of texts from a ``tokenizers`` file whose matches never cross white space; ids of words are memoised."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000, keep_cores: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
-        self.keep = keep
+        self.cores: dict[str, bytes] = {}
+        self.keep, self.keep_cores = keep, keep_cores
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -130,14 +137,48 @@ class Encoder:
         split = [SPACES.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         if len(self.words) > self.keep:
             self.words.clear()
-        new = list(set().union(*split) - self.words.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = array("I", e.ids).tobytes()
+        if len(self.cores) > self.keep_cores:
+            self.cores.clear()
+        self.learn(set().union(*split) - self.words.keys())
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
+    def learn(self, new: set[str]) -> None:
+        """Ids of words that aren't known yet.
+
+        A run of Latin letters and the marks behind it are matches of their own, and lower-casing is what the library does first; so such words
+        share the ids of their letters.  Letters are encoded many words at once: every word's last id, and no other, ends a word.
+        """
+        cores, whole = {}, []
+        for w in new:
+            core = w.rstrip(TAIL)
+            if core.isalpha() and max(core) < "\u0100":
+                cores[w] = core.lower()
+            else:
+                whole.append(w)
+        fresh = list(set(cores.values()) - self.cores.keys())
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't mark the ends of words")
+            raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            for i, core in enumerate(part):
+                self.cores[core] = raw[bounds[i] : bounds[i + 1]]
+        for w, core in cores.items():
+            tail = w[len(core) :]
+            self.words[w] = self.cores[core] + (self.tail(tail) if tail else b"")
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.words[word] = array("I", e.ids).tobytes()
+
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.words:
+            self.words[marks] = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return self.words[marks]
+
 
 _encoders: dict[str, Encoder] = {}
 
