@@ -247,7 +247,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, t
         if ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "part bigint, seq bigint, file string, n_docs bigint, n_tokens bigint")
 
 
