@@ -27,7 +27,7 @@ from vellum.llm.common import slices
 
 PAIRS = 512
 #: Standard errors added to a ratio of heads, since the least of many is too low.
-MARGIN = 1.0
+MARGIN = 0.5
 _CLASSES = np.zeros((256, 9), np.float32)
 for _b in range(256):
     _c = chr(_b)
@@ -80,7 +80,7 @@ def descend(xp: np.ndarray, xu: np.ndarray, prior: float, epochs: int, rate: flo
     w, m, v, t = np.zeros(xp.shape[1] + 1), 0.0, 0.0, 0
     epochs = max(epochs, -(-800 * batch // len(xu)))  # few rows need as many steps
     total, n_total, steps = 0.0, 0, epochs * -(-len(xu) // batch)
-    ap, au = np.c_[xp, np.ones(len(xp))], np.c_[xu, np.ones(len(xu))]
+    ap, au = (np.c_[x, np.ones(len(x), np.float32)] for x in (xp, xu))
     for _ in range(epochs):
         pu = rng.permutation(len(au))
         for i in range(0, len(au), batch):
@@ -119,9 +119,10 @@ def fit(xp: np.ndarray, xu: np.ndarray) -> Model:
     """Estimate the prior from a first model that tells the two samples apart, then minimise the risk."""
     if not len(xp) or not len(xu):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 0.5)
-    both = np.r_[xp, xu].astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    zp, zu = (xp - mean) / scale, (xu - mean) / scale
+    n = len(xp) + len(xu)
+    mean = (xp.sum(0, np.float64) + xu.sum(0, np.float64)) / n
+    scale = np.sqrt((((xp - mean) ** 2).sum(0) + ((xu - mean) ** 2).sum(0)) / n) + 1e-3
+    zp, zu = (((x - mean) / scale).astype(np.float32) for x in (xp, xu))
     half_p, half_u = len(zp) // 2, len(zu) // 2
     w, b = descend(zp[:half_p] if half_p else zp, zu[:half_u] if half_u else zu, 0.5, 6, 0.01, 1e-3)
     prior = class_prior(zp[half_p:] @ w + b, zu[half_u:] @ w + b)
