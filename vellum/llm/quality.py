@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import slices
+from vellum.llm.common import release, slices
 
 PAIRS = 512
 #: Standard errors added to a ratio of heads, since the least of many is too low.
@@ -134,7 +134,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 16_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 10_000) -> Model:
     """Fit on documents that aren't held out: ``sample`` trusted positives and as many unlabelled texts."""
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter(~held_out(F.col("doc_id")))
     own = docs.select("doc_id", "text").filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
@@ -147,16 +147,19 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 16_000) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             x = features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["sort", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["sort", "x"])  # half precision halves what the driver holds
 
     rows = own.join(F.broadcast(chosen), "doc_id").select("sort", "text").mapInArrow(run, "sort int, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, WIDTH)
     sort = np.array(rows.column("sort").to_pylist(), np.int64)
+    del rows
     order = np.lexsort((*x[:, :8].T, sort))  # the rows come in any order; the fit doesn't depend on it
     rng = np.random.default_rng(3)
     order = order[rng.permutation(len(order))]
-    x, sort = x[order], sort[order]
-    return fit(x[sort == 0], x[sort == 1])
+    sort = sort[order]
+    model = fit(*(x[order[sort == i]].astype(np.float32) for i in (0, 1)))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), only: bool = False) -> DataFrame:
