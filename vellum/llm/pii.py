@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import materialise, slices, small
@@ -169,8 +169,18 @@ def surrogates(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-#: No text without a match of this holds an entity.
-HINT = f"@|[0-9][0-9 .()-]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}} ?[A-Z0-9]{{4}}|({_FEMALE}|{_MALE})[.]? "
+#: Beginnings of the forms of address.
+TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Mlle", "Madame", "Monsieur", "Señor", "Sr", "Госпо", "г-")
+
+
+def may_hold(text: str) -> Column:
+    """False for texts that hold no entity: no digit, no at sign, no form of address.  Plain searches cost a fraction of the patterns."""
+    found = F.col(text).contains("@") | F.col(text).rlike("[0-9]")
+    for t in TITLES:
+        found = found | F.col(text).contains(t)
+    return F.coalesce(found, F.lit(False))
+
+
 FOUND = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
@@ -183,7 +193,7 @@ def detected(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [{"key": k, "found": [dict(zip(("start", "end", "kind", "value"), x, strict=True)) for x in f]} for k, f in rows if f]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("found", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())])))]))
 
-    some = docs.filter(F.col(text).rlike(HINT)).select(row_key(text).alias("key"), text)
+    some = docs.filter(may_hold(text)).select(row_key(text).alias("key"), text)
     return some.mapInArrow(run, f"key string, found {FOUND}").dropDuplicates(["key"])
 
 
@@ -213,7 +223,7 @@ def replace(docs: DataFrame, *, key: bytes = b"vellum", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], names=["doc_id", "text", "spans"])
 
     kind = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
-    hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    hint = may_hold(text)
     touched = docs.filter(hint).select("doc_id", F.col(text).alias("text"), row_key(text).alias("key")).join(spans, "key", "left").select("doc_id", "text", "spans")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     done = touched.mapInArrow(run, f"doc_id {id_type}, text string, spans {kind}")
