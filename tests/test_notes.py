@@ -189,3 +189,13 @@ def test_vectors(spark):
         assert len(got) == 120 and all(r.query_grp != r.grp for r in got)
     assert [r.id for r in vectors.knn(v.filter("id = 39"), v, 2).orderBy("rank").collect()] == [38, 36]
     assert vectors.lsh_join(v, 0.999).count() > 0
+
+
+def test_all_notes_are_linked(spark, sf):
+    from vellum.plans import catalogue
+
+    paths = notes.notes_from_documents(spark, sf).select("doc_id", F.xxhash64("file_path").alias("src"), F.regexp_extract("file_path", r"([^/]+)\.md$", 1).alias("title")).collect()
+    got = catalogue.queries()["link_pipeline"](spark, sf).collect()
+    for column in ("src", "title"):
+        found = {r[column] for r in got}
+        assert {r.doc_id % 10 for r in paths if r[column] in found} == set(range(10))
