@@ -152,6 +152,19 @@ def test_proximity_finds_what_a_word_more_hides(spark):
     assert decontaminate.decontaminate(shifted, b).collect()[0].n_near_items in (0, 1)
 
 
+def test_proximity_finds_edited_passages(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [item[:at] + ["other"] + item[at:] for at in range(1, 10)] + [item[:at] + ["other"] + item[at + 1 :] for at in range(10)] + [item[:at] + item[at + 1 :] for at in range(10)] + [item[:4] + ["two", "more"] + item[4:]]
+    far = [item[:3] + ["x"] + item[4:6] + ["y"] + item[7:], item[::-1], item[:5] + ["x"] * 3 + item[5:], item[:7]]
+    d = docs_of(spark, [(i, "so " + " ".join(t) + " it is", "s") for i, t in enumerate(texts + far)])
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_items, r.n_hit, r.n_near_items) for r in decontaminate.decontaminate(d, b).collect()}
+    assert got == {i: (0, 0, int(i < len(texts))) for i in range(len(texts + far))}
+    alone = decontaminate.decontaminate(d.filter("doc_id = 12"), b).collect()  # the corpus lacks the pairs that the edit broke
+    assert [r.n_near_items for r in alone] == [1]
+    assert {r.n_near_items for r in decontaminate.decontaminate(d, b, slop=0).collect()} == {0}
+
+
 # 4
 
 

@@ -2,10 +2,10 @@
 
 Terms of the index are adjacent word pairs (single words only for one-word items), so that even text made of common words has
 rare terms.  One pass over the documents stores the postings (row, position, term) of every term that a benchmark item has;
-the terms' frequencies are then counted over all documents.  Each test window starts from its rarest term: its postings,
-shifted by the term's offset, are candidate starts.  They are intersected with the offset-adjusted list of the second
-rarest term, then with those of all others.  A window with a term that no document has is dropped at once.  Lists may be shifted by up to
-``slop`` words: exact phrases are matches without any shift, the others are proximity matches.
+the terms' frequencies are then counted over all documents.  Each test window starts from its rarest terms: their postings,
+shifted by the terms' offsets, are candidate starts.  They are intersected with the offset-adjusted lists of all its terms.  Lists may be
+shifted by up to ``slop`` words, and as many terms may be missing, as an edit breaks the pairs around it: exact phrases are matches without any shift
+or missing term, the others are proximity matches.  A window is dropped at once only if the corpus lacks more terms than may be missing.
 
 Words are runs of small letters, digits and characters beyond ASCII after A-Z are lower-cased.  A null or empty text has no words; an
 item without words or with a null item_id takes no part; items with the same words share their windows; repeated documents each get their row.  Empty
@@ -64,36 +64,33 @@ def postings(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame
 
 
 def matches(index: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
-    """Window matches in the stored index: row, wid, start, n, exact (false: only within ``slop`` words of its place)."""
+    """Window matches in the stored index: row, wid, start, n, exact (false: only by proximity).
+
+    Proximity asks for all of a window's terms but ``slop`` of them, and but half of them at most, each within ``slop`` words of its place.  As an
+    inserted word breaks one pair, and a deleted or replaced word two, slop 2 finds windows with any one of these.
+    """
     listed = index.filter("pos >= 0").select("row", "pos", "term")
     freq = listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = terms.select("wid", "n", "off", "term").join(freq, "term", "left")
+    ranked = terms.select("wid", "n", "off", "term").join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     by_window = Window.partitionBy("wid")
-    ranked = ranked.withColumn("gone", F.max(F.col("df").isNull()).over(by_window)).filter("NOT gone")
-    ranked = ranked.withColumn("k", F.row_number().over(by_window.orderBy("df", "off"))).withColumn("n_terms", F.count(F.lit(1)).over(by_window))
-    ranked = materialise(ranked.select("wid", "n", "off", "term", "k", "n_terms"), "windows")
+    ranked = ranked.withColumn("n_terms", F.count(F.lit(1)).over(by_window)).withColumn("absent", F.count_if(F.col("df") == 0).over(by_window))
+    ranked = ranked.withColumn("spare", F.least(F.lit(slop), F.floor(F.col("n_terms") / 2))).filter("absent <= spare")
+    ranked = ranked.withColumn("k", F.row_number().over(by_window.orderBy("df", "off")))
+    ranked = materialise(ranked.select("wid", "n", "off", "term", "k", "n_terms", "spare"), "windows")
+
+    # Of the spare + 1 rarest terms one at least is there, so their postings give all candidates.
+    first = ranked.filter("k <= spare + 1").select("wid", "term", "off")
+    starts = listed.join(first, "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
     shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("shift")
-
-    first = ranked.filter("k = 1").select("wid", "n", "n_terms", "term", "off")
-    starts = listed.join(first, "term").select("row", "wid", "n", "n_terms", (F.col("pos") - F.col("off")).alias("start"))
-
-    def intersect(left: DataFrame, at: Column) -> DataFrame:
-        """Candidates with those of their further terms that stand in place, give or take the slop."""
-        wanted = left.join(ranked.filter(at).select("wid", "off", "term"), "wid").select("row", "wid", "n", "n_terms", "start", "off", "term", shifts)
-        return wanted.withColumn("pos", F.col("start") + F.col("off") + F.col("shift")).join(listed, ["row", "pos", "term"])
-
-    whole = starts.filter("n_terms = 1").select("row", "wid", "n", "start", F.lit(True).alias("exact"))
-    second = intersect(starts.filter("n_terms > 1"), F.col("k") == 2).groupBy("row", "wid", "n", "n_terms", "start").agg(F.max(F.col("shift") == 0).alias("e2"))
-    short = second.filter("n_terms = 2").select("row", "wid", "n", "start", F.col("e2").alias("exact"))
-    more = intersect(second.filter("n_terms > 2"), F.col("k") > 2)
-    full = (
-        more.groupBy("row", "wid", "n", "n_terms", "start")
+    wanted = starts.join(ranked.select("wid", "n", "n_terms", "spare", "off", "term"), "wid").select("row", "wid", "n", "n_terms", "spare", "start", "off", "term", shifts)
+    return (
+        wanted.withColumn("pos", F.col("start") + F.col("off") + F.col("shift"))
+        .join(listed, ["row", "pos", "term"])
+        .groupBy("row", "wid", "n", "n_terms", "spare", "start")
         .agg(F.count_distinct("off").alias("near"), F.count_if(F.col("shift") == 0).alias("in_place"))
-        .filter(F.col("near") == F.col("n_terms") - 2)
-        .join(second, ["row", "wid", "n", "n_terms", "start"])
-        .select("row", "wid", "n", "start", (F.col("e2") & (F.col("in_place") == F.col("n_terms") - 2)).alias("exact"))
+        .filter(F.col("near") >= F.col("n_terms") - F.col("spare"))
+        .select("row", "wid", "start", "n", (F.col("in_place") == F.col("n_terms")).alias("exact"))
     )
-    return whole.unionByName(short).unionByName(full)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, slop: int = 2) -> DataFrame:

@@ -37,6 +37,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op3_decontaminate, whose columns are those of its SQL: how many items each document only comes near."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_near_items")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = materialise(secrets.scan(table(spark, sf_dir, "documents")), "secrets")
     found = F.coalesce(F.col("j.found"), F.array().cast(secrets.FOUND))
@@ -77,7 +82,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_hilbert_ann, op2_quality, op3_decontaminate, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op9_pii, op10_warc]
+    own = [op1_hilbert_ann, op2_quality, op3_decontaminate, op3_near_items, op4_secret_scan, op5_token_files, op6_jaccard_join, op7_byte_bpe, op8_language, op9_pii, op10_warc]
     return {f.__name__: f for f in own}
 
 
