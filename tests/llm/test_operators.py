@@ -401,6 +401,14 @@ def test_surrogates(spark, none):
     assert len({(r.kind, r.surrogate) for r in s}) == 3400
 
 
+def test_surrogates_of_many_names_and_short_addresses(spark):
+    many = [("name", f"m:smith{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}") for i in range(6000)]
+    many += [("email", f"{c}@hot.example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789_"] + [("email", f"{i}@hot.example.com") for i in range(10, 1000)]
+    got = pii.surrogates(spark.createDataFrame(many, "kind string, value string"), b"k").collect()
+    assert sorted((r.kind, r.value) for r in got) == sorted(many) and len({(r.kind, r.surrogate) for r in got}) == len(many)
+    assert len({r.surrogate.partition("@")[2] for r in got if r.kind == "email"}) == 1 and all(re.fullmatch("m:[A-Z][a-z]+", r.surrogate) for r in got if r.kind == "name")
+
+
 # 10
 
 

@@ -6,7 +6,7 @@ address.  A surrogate is drawn from an HMAC of the kind and the normalised value
 card numbers stay Luhn-valid, IBANs mod-97-valid, addresses stay routable, e-mail domains become reserved ones.
 
 Distinctness is checked over the corpus: where two entities draw the same surrogate, or one that is an entity itself, all but the
-smallest draw again, until none collide.
+smallest draw again, until none collide.  Names and e-mail addresses, whose first shapes are few, grow by a part with each new draw.
 
 A null text has no entities and stays null; repeated rows are replaced alike; overlapping detections keep the earliest, then the longest;
 an empty table gives an empty result.
@@ -107,6 +107,7 @@ def drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         shape = "".join(str(d(10)) if c.isdigit() else chr(97 + d(26)) if c.isalpha() else c for c in local)
+        shape += "".join(chr(97 + d(26)) for _ in range(attempt))
         part = Draw(key, f"domain|{domain}")
         return f"{shape}@{''.join(chr(97 + part(26)) for _ in range(8))}.example.{('com', 'net', 'org')[part(3)]}"
     if kind == "ip":
@@ -122,7 +123,7 @@ def drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "name":
         gender, _, name = value.partition(":")
         script = "cyrillic" if re.search("[а-я]", name) else "latin"
-        family = "".join(FAMILY[script][d(16)] for _ in range(3)).capitalize()
+        family = "".join(FAMILY[script][d(16)] for _ in range(3 + attempt)).capitalize()
         return f"{gender}:{family if ' ' not in name else GIVEN[script, gender][d(len(GIVEN[script, gender]))] + ' ' + family}"
     lead = 2 if value.startswith("+") else 1  # a phone number keeps the start of its country code
     return value[:lead] + "".join(map(digit, value[lead:]))
