@@ -409,6 +409,19 @@ def test_surrogates_of_many_names_and_short_addresses(spark):
     assert len({r.surrogate.partition("@")[2] for r in got if r.kind == "email"}) == 1 and all(re.fullmatch("m:[A-Z][a-z]+", r.surrogate) for r in got if r.kind == "name")
 
 
+def test_surrogates_in_other_digits(spark):
+    to = lambda zero, text: text.translate({48 + i: zero + i for i in range(10)})
+    arabic, deva = 0x660, 0x966
+    texts = [(1, to(arabic, "call +17435553824 now")), (2, to(deva, "ssn 123-45-6789, id ") + "7"), (3, to(deva, "ssn 223-45-6789")), (4, "call +17435553824 or 123-45-6789"), (5, to(arabic, "at 10.1.2.3 or 4111 1111 1111 1111")), (6, "\U0001E4F1\U0001E4F2\U0001E4F3-\U0001E4F4\U0001E4F5-\U0001E4F6\U0001E4F7\U0001E4F8\U0001E4F9")]
+    by = {r.doc_id: r for r in pii.replace(docs_of(spark, [(i, t, "s") for i, t in texts])).collect()}
+    assert [(by[i].n_phone, by[i].n_ssn, by[i].n_ip, by[i].n_card) for i in range(1, 7)] == [(1, 0, 0, 0), (0, 1, 0, 0), (0, 1, 0, 0), (1, 1, 0, 0), (0, 0, 1, 1), (0, 1, 0, 0)]
+    assert all(by[i].text != t for i, t in texts)
+    assert re.fullmatch("call \\+[\u0660-\u0669]{11} now", by[1].text) and re.fullmatch("ssn [\u0966-\u096f]{3}-[\u0966-\u096f]{2}-[\u0966-\u096f]{4}, id [\u0966-\u096f]*7", by[2].text)
+    assert by[4].text == f"call {pii.ascii_digits(by[1].text).split()[1]} or {pii.ascii_digits(by[2].text)[4:15]}"  # the same entities
+    assert by[2].text[4:15] != by[3].text[4:15] and re.fullmatch("[\U0001E4F0-\U0001E4F9-]{11}", by[6].text)
+    assert pii.luhn(re.sub(r"\D", "", pii.ascii_digits(by[5].text).partition(" or ")[2]))
+
+
 # 10
 
 

@@ -2,7 +2,7 @@
 
 Kinds are e-mail addresses, phone numbers, IPv4 addresses, card numbers (Luhn-valid), social security numbers, IBANs (mod-97-valid) and names after a form of
 address.  A surrogate is drawn from an HMAC of the kind and the normalised value, so the same entity gets the same one in every document
-(coreference), while its writing follows the mention: separators, capitals and grouping stay.  Names keep gender and script,
+(coreference), while its writing follows the mention: separators, capitals, grouping and digits (of any script) stay.  Names keep gender and script,
 card numbers stay Luhn-valid, IBANs mod-97-valid, addresses stay routable, e-mail domains become reserved ones.
 
 Distinctness is checked over the corpus: where two entities draw the same surrogate, or one that is an entity itself, all but the
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,14 @@ GIVEN = {
 FAMILY = {"latin": "bal den for gar hol kin lan mar nor pel ran sel tor van wel zan".split(), "cyrillic": "бал вар гор дан зор кал лан мор нов пал рог сам тор хан чер шев".split()}
 
 
+def ascii_digits(text: str) -> str:
+    """``text`` with the decimal digits of all scripts as 0-9; no place changes."""
+    if text.isascii():
+        return text
+    odd = {ord(c): str(unicodedata.decimal(c)) for c in set(text) if c.isdecimal() and not c.isascii()}
+    return text.translate(odd) if odd else text
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits), 1))
     return total % 10 == 0
@@ -59,6 +68,7 @@ def mod97(iban: str) -> int:
 
 def normal(kind: str, mention: str, gender: str = "") -> str | None:
     """An entity's value, the same for all its mentions; None: not an entity after all."""
+    mention = ascii_digits(mention)
     if kind == "email":
         return mention.lower()
     if kind == "name":
@@ -73,6 +83,7 @@ def normal(kind: str, mention: str, gender: str = "") -> str | None:
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Entities as (start, end, kind, value), without overlaps."""
+    text = ascii_digits(text)
     found = []
     for rank, kind in enumerate(PATTERNS):
         if kind == "email" and "@" not in text:
@@ -130,7 +141,11 @@ def drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 
 def written(kind: str, mention: str, surrogate: str) -> str:
-    """A surrogate's value in the writing of a mention."""
+    """A surrogate's value in the writing of a mention; the first digit tells the digits' script."""
+    zero = next((ord(c) - unicodedata.decimal(c) for c in mention if c.isdecimal()), ord("0"))
+    if zero != ord("0"):
+        plain = written(kind, ascii_digits(mention), surrogate)
+        return plain.translate({ord("0") + i: zero + i for i in range(10)})
     if kind == "name":
         plain = surrogate.partition(":")[2]
         return plain.upper() if mention.isupper() else plain
@@ -174,9 +189,13 @@ def surrogates(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Mme", "Mlle", "Madame", "Monsieur", "Señor", "Sr", "Госпо", "г-")
 
 
+#: Digits of all scripts; Java 17 doesn't know the last two yet.
+DIGIT = r"[\p{Nd}\x{11F50}-\x{11F59}\x{1E4F0}-\x{1E4F9}]"
+
+
 def may_hold(text: str) -> Column:
     """False for texts that hold no entity: no digit, no at sign, no form of address.  Plain searches cost a fraction of the patterns."""
-    found = F.col(text).contains("@") | F.col(text).rlike("[0-9]")
+    found = F.col(text).contains("@") | F.col(text).rlike(DIGIT)
     for t in TITLES:
         found = found | F.col(text).contains(t)
     return F.coalesce(found, F.lit(False))
