@@ -199,3 +199,12 @@ def test_all_notes_are_linked(spark, sf):
     for column in ("src", "title"):
         found = {r[column] for r in got}
         assert {r.doc_id % 10 for r in paths if r[column] in found} == set(range(10))
+
+
+def test_long_texts_and_all_turns_are_embedded(spark, sf):
+    from vellum.plans import catalogue
+
+    long = W(512)
+    assert (vectors.hashed_words([long]) != vectors.hashed_words([long + " end" * 300])).any()
+    turns = {r[0] for r in spark.read.parquet(f"{sf}/conversations.parquet").select(F.xxhash64("conv_id", "turn")).collect()}
+    assert {r.query_id for r in catalogue.queries()["embed_search"](spark, sf).collect()} == turns

@@ -452,10 +452,10 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best three of all notes' chunks for the first chunk of each conversation."""
+    """The best three of all notes' chunks for each turn of each conversation."""
     chunks = vectors.embed(chunking.chunk_notes(notes_from_documents(spark, sf_dir)))
-    asked = vectors.embed(table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "text"), prefix="")
-    q = asked.select(F.col("conv_id").alias("id"), F.lit(-1).alias("grp"), F.col("embedding").alias("vec"))
+    asked = vectors.embed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), prefix="")
+    q = asked.select(F.xxhash64("conv_id", "turn").alias("id"), F.lit(-1).alias("grp"), F.col("embedding").alias("vec"))
     c = chunks.select(F.xxhash64("file_path", "index").alias("id"), F.lit(0).alias("grp"), F.col("embedding").alias("vec"))
     return vectors.knn(q, c, 3).select("query_id", "rank", F.round("similarity", 4).alias("similarity"))
 
