@@ -3,50 +3,33 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.shared import materialise, shared_dir
+
+__all__ = ["free", "identified", "materialise", "release", "shared_dir", "slices", "small", "strings", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names no such folder (tests on one machine) is a local one chosen.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "vellum-checkpoints")
-    return f"{base.rstrip('/')}/vellum/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends, no executor's loss matters."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what a kernel holds besides its input stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, of ``rows`` rows and about ``size`` bytes at most (or one row), so that what a kernel holds besides its input stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, int(size * batch.num_rows / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def release() -> None:
@@ -58,21 +41,30 @@ def release() -> None:
         pass
 
 
-#: So many ids (8 bytes each and their hash table, about 100 MB) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: So many rows, of so many bytes as JSON, are broadcast; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, already materialised, marked for broadcast if it has few rows and bytes."""
+    n, length = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (length or 0) <= size else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """``df``, already materialised, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def identified(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """``docs`` with a column that tells its rows apart: doc_id, or numbers where doc_ids are null or repeated.
+    """``docs`` with a column that tells its rows apart: doc_id, or numbers where doc_ids are null, repeated or no integers.
 
     Only ids are grouped to find that out; numbered rows are written first, so that they keep their numbers.
     """
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
-    if odd:
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if not whole or docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count():
         return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     return docs.withColumn(name, F.col("doc_id").cast("bigint"))
