@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -24,12 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import slices
+from vellum.llm.common import release, slices
 
 # Unicode White_Space, which is what \s means to the reference pattern (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of white space and the run of other characters after it: no match of the pattern crosses its ends.
-SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +40,7 @@ NEVER = 1 << 60
 
 
 class Memo(dict):
-    """A function's answers, at most ``keep`` of them at a time; long keys aren't kept."""
+    """A function's answers, at most ``keep`` of them at a time; keys over ``longest`` characters aren't kept, so its bytes are bounded too."""
 
     def __init__(self, f: Callable, keep: int, longest: int = 64):
         super().__init__()
@@ -61,13 +58,14 @@ class Memo(dict):
 class Codec:
     """Encodes and decodes with one vocabulary; ``keep`` bounds each memo, which is emptied when full."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 500_000):
         self.ranks, self.keep = ranks, keep
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?=[{SPACE}]|\\Z)").replace(r"\s", f"[{SPACE}]"))
         self.size = {i: len(b) for b, i in ranks.items()}
         self.word = {i: b for b, i in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.pairs = Memo(self.compatible, keep)
-        self.segments = Memo(self.segment, keep)
+        self.known = Memo(self.match, keep)
         self.entries: dict[str, int] = {}
         halves: dict[int, tuple[int, int]] = {}
         for entry, rank in ranks.items():
@@ -125,10 +123,11 @@ class Codec:
         """Ids of one match of the pattern."""
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        n, entries, latin, pairs, reach = len(word), self.entries, word.decode("latin-1"), self.pairs, self.automaton.longest_prefix
+        n, entries, latin, pairs, most = len(word), self.entries, word.decode("latin-1"), self.pairs, self.longest
+        reach = self.automaton.longest_prefix
         taken: list[int] = []
         starts = [0]
-        lengths = [reach(latin)]  # of each open position, the lengths not yet tried
+        lengths = [reach(latin[:most])]  # of each open position, the lengths not yet tried
         dead = bytearray(n + 1)
         while (at := starts[-1]) < n:
             last, k = taken[-1] if taken else -1, lengths[-1]
@@ -140,7 +139,7 @@ class Codec:
                 lengths[-1] = k - 1
                 taken.append(rank)
                 starts.append(at + k)
-                lengths.append(reach(latin[at + k :]) if at + k < n else 0)
+                lengths.append(reach(latin[at + k : at + k + most]) if at + k < n else 0)
             else:
                 dead[at] = 1
                 if not taken:
@@ -150,15 +149,14 @@ class Codec:
                 taken.pop()
         return taken
 
-    def segment(self, text: str) -> tuple[str, bytes]:
-        """Of one segment: the decimal ids joined by commas, and the ids as little-endian 32-bit integers."""
-        ids = [i for m in self.pattern.findall(text) for i in self.piece(m.encode("utf-8", "surrogatepass"))]
-        return ",".join(map(str, ids)), np.array(ids, "<u4").tobytes()
+    def match(self, text: str) -> str:
+        """Decimal ids, joined by commas, of one match of the pattern."""
+        return ",".join(map(str, self.piece(text.encode("utf-8", "surrogatepass"))))
 
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """As :meth:`segment`, of a whole text."""
-        out = list(map(self.segments.__getitem__, SEGMENT.findall(text)))
-        return ",".join([x[0] for x in out]), b"".join([x[1] for x in out])
+    def encode(self, text: str) -> tuple[str, np.ndarray]:
+        """The ids of a whole text: decimal and joined by commas, and as integers."""
+        decimal = ",".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        return decimal, np.fromstring(decimal, np.uint32, sep=",") if decimal else np.zeros(0, np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for."""
@@ -200,13 +198,14 @@ def tokenise(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
         for batch in slices(batches):
             made: dict[str, list] = {o: [] for o in outputs}
             for t in batch.column("__text"):
-                decimal, packed = c.encode(t.as_py() or "")
-                ids = np.frombuffer(packed, "<u4")
+                decimal, ids = c.encode(t.as_py() or "")
                 back = c.decode(ids) if "decoded" in made or "decoded_sha256" in made else b""
                 for o, values in made.items():
                     values.append(
                         ids.astype(np.int32) if o == "ids" else len(ids) if o == "n_tokens" else hashlib.sha256(decimal.encode()).hexdigest() if o == "ids_sha256" else back if o == "decoded" else hashlib.sha256(back).hexdigest()
                     )
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(made[o], kinds[OUTPUTS[o]]) for o in outputs)], names=[*batch.schema.names[:-1], *outputs])
+        c.known.clear()
+        release()
 
     return narrow.mapInArrow(run, schema)
