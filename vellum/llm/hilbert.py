@@ -2,13 +2,15 @@
 
 Vectors are projected onto a few random orthogonal directions, shifted, and ordered along a Hilbert curve; ``curves`` such orders,
 each with directions and a shift of its own, are range-partitioned and sorted by Spark.  A query looks at the ``window`` places before and behind its own place in
-each order; windows are cut into blocks of neighbouring keys, blocks rank their candidates by inner product in double precision, and
-each query's blocks are merged.
+each order.  The orders carry a sketch of a byte a component instead of the vectors, with a bound of its error: a query keeps every
+candidate whose upper bound reaches the k-th largest lower bound, the orders' candidates are merged, and for those left each vector is fetched once and its inner
+product summed in doubles, in a fixed order, so equal vectors have equal scores.
 
 For the largest inner product, vectors get one more coordinate that makes all norms equal, and queries get 0 there.  The scale of the grid comes from a bounded
 sample of vectors.  The window isn't guessed: ``probes`` queries are answered by brute force over all vectors, and the window is the rank distance within
 which the share ``recall`` of their true neighbours lies in at least one order (and ``least`` at least).  Every row is indexed and no block has a cap.
 
+Equal vectors are one place in the orders, under their smallest vec_id, with the k + 1 smallest of their vec_ids: no more can be among a query's nearest.
 Rows whose vector is null, zero, or holds null or non-finite components take no part, nor do those without a vec_id or of another length
 than the most frequent one; repeated vec_ids count once, with their first vector in array order.  Ties go to the smaller vec_id.  An empty table gives an empty result.
 """
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, slices
+from vellum.llm.common import materialise, slices, small
 
 U = np.uint64
 
@@ -75,63 +77,95 @@ class Curves:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part."""
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
+    """vec_id and embedding of the rows that take part, in the elements' own type."""
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "float" if element == "float" else "double"
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.filter(~odd).filter(F.exists("embedding", lambda x: x != 0))
     return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def distinct(good: DataFrame, k: int) -> DataFrame:
+    """Each different vector once: node (its smallest vec_id), ids (its k + 1 smallest, as a query leaves out its own at most), embedding.
+
+    Spark cuts each task's rows to the first k + 1 of a vector before the shuffle, so a vector that many rows share is no hot key.
+    """
+    first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = good.withColumn("i", first).filter(F.col("i") <= k + 1)
+    return few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "embedding")
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest finite scores, ties to the smaller id."""
-    if len(scores) > k:
-        keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-        scores, ids = scores[keep], ids[keep]
-    real = scores > -np.inf
-    scores, ids = scores[real], ids[real]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+def inner(a: Column, b: Column) -> Column:
+    """Inner product in doubles, summed from the first component to the last: equal vectors have equal scores."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+class Sketches:
+    """Vectors in one byte a component, with a bound on what any inner product can be off by."""
+
+    def __init__(self, x: np.ndarray):
+        self.scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
+        self.cells = np.rint(x / self.scale[:, None]).astype(np.int8)
+        self.gap = np.linalg.norm(x - self.cells * self.scale[:, None], axis=1) + 1e-12 * np.linalg.norm(x, axis=1)
+
+    def packed(self) -> list[bytes]:
+        head = np.stack([self.scale, self.gap], 1).astype("<f8")
+        return [h.tobytes() + c.tobytes() for h, c in zip(head, self.cells, strict=True)]
+
+
+def unpacked(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as their sketches give them, and their gaps."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 16 + width)
+    head = np.ascontiguousarray(raw[:, :16]).view("<f8")
+    return raw[:, 16:].view(np.int8) * head[:, :1], head[:, 1].copy()
+
+
+def hopeful(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Places of the candidates that may be among the k best: all whose upper bound reaches the k-th largest lower one."""
+    if len(low) <= k:
+        return np.flatnonzero(high > -np.inf)
+    return np.flatnonzero((high >= np.partition(low, len(low) - k)[len(low) - k]) & (high > -np.inf))
 
 
-def exact(vectors: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int, width: int) -> DataFrame:
-    """Brute force for a bounded set of queries: query, vec_id, score of the k nearest; each task sends its best only."""
+def exact(nodes: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int, width: int) -> DataFrame:
+    """Brute force for a bounded set of queries: query, node of the k nearest vectors; each task sends its best only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(query_ids)
+        ids, scores = np.zeros((len(query_ids), 0), np.int64), np.zeros((len(query_ids), 0))
         for b in slices(batches, 4096):
-            ids = np.asarray(b.column(0))
+            own = np.asarray(b.column(0))
             s = queries @ matrix(b.column(1), width).T
-            s[query_ids[:, None] == ids[None, :]] = -np.inf
-            for i in range(len(query_ids)):
-                s_i, v_i = best(s[i], ids, k)
-                held[i] = best(np.r_[held[i][0], s_i], np.r_[held[i][1], v_i], k)
-        rows = [(int(q), int(v), float(x)) for q, (xs, vs) in zip(query_ids, held, strict=True) for x, v in zip(xs, vs, strict=True)]
-        yield pa.RecordBatch.from_pydict({"query": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    from pyspark.sql import Window
-
-    found = vectors.select("vec_id", "embedding").mapInArrow(run, "query bigint, vec_id bigint, score double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+            s[query_ids[:, None] == own[None, :]] = -np.inf
+            scores, ids = np.hstack([scores, s]), np.hstack([ids, np.broadcast_to(own, s.shape)])
+            if scores.shape[1] > k:
+                at = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+        q = np.repeat(query_ids, scores.shape[1])
+        real = scores.ravel() > -np.inf
+        yield pa.RecordBatch.from_pydict({"query": pa.array(q[real], pa.int64()), "node": pa.array(ids.ravel()[real], pa.int64()), "score": pa.array(scores.ravel()[real], pa.float64())})
+
+    found = nodes.select("node", "embedding").mapInArrow(run, "query bigint, node bigint, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
     return found.withColumn("k", place).filter(F.col("k") <= k).drop("k")
 
 
-def ordered(vectors: DataFrame, is_query: str, curves: Curves, width: int) -> DataFrame:
-    """All orders, materialised: curve, place (rank in its order), kind (0 vector, 1 query), vec_id, vector (packed)."""
+def ordered(nodes: DataFrame, curves: Curves, width: int) -> DataFrame:
+    """All orders, materialised: curve, part and pos (place in it), kind (0 vector, 1 query), node, sketch (a query's: its whole vector)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             ids, x, asked = np.asarray(b.column(0)), matrix(b.column(1), width), np.asarray(b.column(2))
-            rows = [(0, ids, x, curves.keys(x, False))]
+            rows = [(0, ids, pa.array(Sketches(x).packed(), pa.binary()), curves.keys(x, False))]
             if asked.any():
-                rows.append((1, ids[asked], x[asked], curves.keys(x[asked], True)))
-            for kind, i, v, keys in rows:
-                raw = pa.array([r.tobytes() for r in v.astype(np.float64)], pa.binary())
+                rows.append((1, ids[asked], pa.array([r.tobytes() for r in x[asked].astype("<f8")], pa.binary()), curves.keys(x[asked], True)))
+            for kind, i, raw, keys in rows:
                 for c in range(keys.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c, np.int32)), pa.array(keys[:, c]), pa.array(np.full(len(i), kind, np.int32)), pa.array(i), raw], names=["curve", "key", "kind", "vec_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), c, np.int32)), pa.array(keys[:, c]), pa.array(np.full(len(i), kind, np.int32)), pa.array(i), raw], names=["curve", "key", "kind", "node", "sketch"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,103 +176,124 @@ def ordered(vectors: DataFrame, is_query: str, curves: Curves, width: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *b.columns], names=["part", "pos", *b.schema.names])
             at += n
 
-    rows = vectors.select("vec_id", "embedding", F.expr(is_query).alias("asked")).mapInArrow(keyed, "curve int, key bigint, kind int, vec_id bigint, vector binary")
-    spread = rows.repartitionByRange("curve", "key", "kind", "vec_id").sortWithinPartitions("curve", "key", "kind", "vec_id")
-    return materialise(spread.mapInArrow(numbered, "part int, pos bigint, curve int, key bigint, kind int, vec_id bigint, vector binary"), "orders")
+    rows = nodes.select("node", "embedding", "asked").mapInArrow(keyed, "curve int, key bigint, kind int, node bigint, sketch binary")
+    spread = rows.repartitionByRange("curve", "key", "kind", "node").sortWithinPartitions("curve", "key", "kind", "node")
+    done = spread.mapInArrow(numbered, "part int, pos bigint, curve int, key bigint, kind int, node bigint, sketch binary")
+    return materialise(done.select("part", "pos", "curve", "kind", "node", "sketch"), "orders")
 
 
 def placed(orders: DataFrame) -> DataFrame:
     """Ranks from places within partitions: one row a partition and curve gives what stands before."""
-    from pyspark.sql import Window
-
     counts = orders.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("curve", "part", (before - F.col("first")).alias("shift"))
-    return orders.join(offsets, ["curve", "part"]).select("curve", (F.col("pos") + F.col("shift")).alias("place"), "kind", "vec_id", "vector")
+    offsets = small(materialise(counts.select("curve", "part", (before - F.col("first")).alias("shift")), "offsets"), 100_000)
+    return orders.join(offsets, ["curve", "part"]).select("curve", (F.col("pos") + F.col("shift")).alias("place"), "kind", "node", "sketch")
 
 
 def calibrated(places: DataFrame, truth: DataFrame, recall: float, least: int) -> int:
     """The window that holds the share ``recall`` of true neighbours in at least one order."""
-    at = places.select("curve", "place", "kind", "vec_id")
-    v = truth.select("query", "vec_id").join(at.filter("kind = 0").drop("kind"), "vec_id")
-    q = at.filter("kind = 1").select("curve", F.col("place").alias("own"), F.col("vec_id").alias("query"))
-    nearest = v.join(q, ["curve", "query"]).groupBy("query", "vec_id").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("gap"))
+    at = places.select("curve", "place", "kind", "node")
+    v = at.filter("kind = 0").drop("kind").join(F.broadcast(truth.select("query", "node")), "node")  # probes x k rows
+    q = at.filter("kind = 1").select("curve", F.col("place").alias("own"), F.col("node").alias("query")).join(F.broadcast(truth.select("query").distinct()), "query")
+    nearest = v.join(q, ["curve", "query"]).groupBy("query", "node").agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("gap"))
     found = nearest.agg(F.percentile("gap", F.lit(recall))).first()[0]
     return max(least, int(np.ceil((found or 0) * 1.1)))
 
 
-def search(vectors: DataFrame, *, is_query: str = "vec_id % 20 = 0", k: int = 20, curves: int = 16, axes: int = 8, bits: int = 5, recall: float = 0.96, probes: int = 128, sample: int = 10_000, least: int = 1024) -> DataFrame:
-    """The k nearest of every query among all other rows: query_id, rank, vec_id, score."""
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    good = materialise(usable(vectors), "vectors")
-    widths = good.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    if not widths:
-        return vectors.sparkSession.createDataFrame([], schema)
-    width = widths[0]["w"]
-    good = good.filter(F.size("embedding") == width)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    longest = float(np.sqrt(good.agg(F.max(norm)).first()[0]))
-    draw = F.xxhash64("vec_id", F.lit(5))
-    seen = matrix(good.orderBy(draw).limit(sample).select("embedding").toArrow().column(0).combine_chunks(), width)
-    shape = Curves(seen, longest, curves, axes, bits)
-    asked = good.filter(is_query).orderBy(draw).limit(probes).toArrow()
-    if not asked.num_rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    truth = materialise(exact(good, matrix(asked.column("embedding").combine_chunks(), width), np.asarray(asked.column("vec_id")), k, width), "truth")
-    places = materialise(placed(ordered(good, is_query, shape, width)), "places")
-    window = calibrated(places, truth, recall, least)
-    block = max(256, window)
+def candidates(places: DataFrame, window: int, k: int, width: int, block: int) -> DataFrame:
+    """query, node: what each query's windows hold and may be among its k nearest, by sketches.
 
+    Orders are cut into blocks of ``block`` places, whatever the window, so a task's memory is bounded; a query goes to each block that its window reaches.
+    """
     own = places.withColumn("block", F.floor(F.col("place") / block))
     reach = F.sequence(F.floor((F.greatest(F.col("place") - window, F.lit(0))) / block), F.floor((F.col("place") + window) / block))
     both = own.filter("kind = 0").unionByName(places.filter("kind = 1").withColumn("block", F.explode(reach)))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Block after block: its vectors come first, then queries in batches."""
-        key, ids, spots, x = None, [], [], []
+        key, ids, spots, x, gaps = None, [], [], [], []
 
         for b in batches:
-            edges = [0, *(np.flatnonzero((np.diff(np.asarray(b.column("curve"))) != 0) | (np.diff(np.asarray(b.column("block"))) != 0) | (np.diff(np.asarray(b.column("kind"))) != 0)) + 1).tolist(), b.num_rows]
+            marks = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("curve", "block", "kind")])
+            edges = [0, *(np.flatnonzero((np.diff(marks, axis=1) != 0).any(0)) + 1).tolist(), b.num_rows]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if lo == hi:
                     continue
                 g = b.slice(lo, hi - lo)
-                here = (g.column("curve")[0].as_py(), g.column("block")[0].as_py())
+                here = tuple(marks[:2, lo].tolist())
                 if here != key:
-                    key, ids, spots, x = here, [], [], []
-                own_ids, own_spots = np.asarray(g.column("vec_id")), np.asarray(g.column("place"))
-                own_x = np.frombuffer(b"".join(g.column("vector").to_pylist()), np.float64).reshape(-1, width)
-                if g.column("kind")[0].as_py() == 0:
-                    ids.append(own_ids)
-                    spots.append(own_spots)
-                    x.append(own_x)
+                    key, ids, spots, x, gaps = here, [], [], [], []
+                own_ids, own_spots, raw = np.asarray(g.column("node")), np.asarray(g.column("place")), g.column("sketch").to_pylist()
+                if marks[2, lo] == 0:
+                    vectors, gap = unpacked(raw, width)
+                    for held, more in ((ids, own_ids), (spots, own_spots), (x, vectors), (gaps, gap)):
+                        held.append(more)
                     continue
                 if not ids:
                     continue
-                all_ids, all_spots, all_x = np.concatenate(ids), np.concatenate(spots), np.concatenate(x)
-                out: dict[str, list] = {"query_id": [], "ids": [], "scores": []}
-                for at in range(0, len(own_ids), 256):
-                    s = own_x[at : at + 256] @ all_x.T
-                    s[np.abs(own_spots[at : at + 256, None] - all_spots[None, :]) > window] = -np.inf
-                    s[own_ids[at : at + 256, None] == all_ids[None, :]] = -np.inf
-                    for i in range(len(s)):
-                        xs, vs = best(s[i], all_ids, k)
-                        if len(vs):
-                            out["query_id"].append(int(own_ids[at + i]))
-                            out["ids"].append(vs.tobytes())
-                            out["scores"].append(xs.tobytes())
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if n == "query_id" else pa.binary()) for n, c in out.items()})
-
-    dealt = both.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind", "vec_id")
-    parts = dealt.select("curve", "block", "kind", "place", "vec_id", "vector").mapInArrow(rank, "query_id bigint, ids binary, scores binary")
+                all_ids, all_spots, all_x, all_gaps = (np.concatenate(a) for a in (ids, spots, x, gaps))
+                asked = np.frombuffer(b"".join(raw), "<f8").reshape(-1, width)
+                out: dict[str, list] = {"query": [], "nodes": [], "low": [], "high": []}
+                for at in range(0, len(own_ids), 128):
+                    q = asked[at : at + 128]
+                    s = q @ all_x.T
+                    off = np.linalg.norm(q, axis=1)[:, None] * all_gaps[None, :]
+                    far = np.abs(own_spots[at : at + 128, None] - all_spots[None, :]) > window
+                    low, high = np.where(far, -np.inf, s - off), np.where(far, -np.inf, s + off)
+                    for i in range(len(q)):
+                        keep = hopeful(low[i], high[i], k)
+                        if len(keep):
+                            out["query"].append(int(own_ids[at + i]))
+                            out["nodes"].append(all_ids[keep].tobytes())
+                            out["low"].append(low[i, keep].tobytes())
+                            out["high"].append(high[i, keep].tobytes())
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if n == "query" else pa.binary()) for n, c in out.items()})
+
+    dealt = both.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind", "node")
+    parts = dealt.select("curve", "block", "kind", "place", "node", "sketch").mapInArrow(rank, "query bigint, nodes binary, low binary, high binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from vellum.llm.jaccard import column, runs_of
 
-        for query, rows in runs_of(batches, "query_id"):
-            ids, scores = column(rows, "ids", "<i8"), column(rows, "scores", "<f8")
-            ids, first = np.unique(ids, return_index=True)
-            xs, vs = best(scores[first], ids, k)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array([query] * len(vs), pa.int64()), "rank": pa.array(range(1, len(vs) + 1), pa.int32()), "vec_id": pa.array(vs), "score": pa.array(xs)})
+        for query, rows in runs_of(batches, "query"):
+            nodes, first = np.unique(column(rows, "nodes", "<i8"), return_index=True)
+            keep = hopeful(column(rows, "low", "<f8")[first], column(rows, "high", "<f8")[first], k)
+            yield pa.RecordBatch.from_pydict({"query": pa.array(np.full(len(keep), query, np.int64)), "node": pa.array(nodes[keep])})
+
+    return parts.repartition("query").sortWithinPartitions("query").mapInArrow(merge, "query bigint, node bigint")
+
+
+def search(vectors: DataFrame, *, is_query: str = "vec_id % 20 = 0", k: int = 20, curves: int = 16, axes: int = 8, bits: int = 5, recall: float = 0.97, probes: int = 128, sample: int = 10_000, least: int = 64, block: int = 4096) -> DataFrame:
+    """The k nearest of every query among all other rows: query_id, rank, vec_id, score."""
+    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    good = materialise(usable(vectors), "vectors")
+    widths = good.groupBy(F.size("embedding").alias("w")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], schema)
+    width = widths[0]["w"]
+    good = good.filter(F.size("embedding") == width)
+    queries = good.filter(is_query).select("vec_id", "embedding")
+    one = distinct(good, k).join(queries.select("embedding", F.lit(True).alias("asked")).distinct(), "embedding", "left")
+    nodes = materialise(one.select("node", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")), "nodes")
+    longest = float(np.sqrt(nodes.agg(F.max(inner(F.col("embedding"), F.col("embedding")))).first()[0]))
+    draw = F.xxhash64("node", F.lit(5))
+    seen = matrix(nodes.orderBy(draw).limit(sample).select("embedding").toArrow().column(0).combine_chunks(), width)
+    shape = Curves(seen, longest, curves, axes, bits)
+    probe = nodes.filter("asked").orderBy(draw).limit(probes).select("node", "embedding").toArrow()
+    if not probe.num_rows:
+        return vectors.sparkSession.createDataFrame([], schema)
+    truth = materialise(exact(nodes, matrix(probe.column("embedding").combine_chunks(), width), np.asarray(probe.column("node")), k, width), "truth")
+    places = placed(ordered(nodes, shape, width))
+    window = calibrated(places, truth, recall, least)
+    pairs = candidates(places, window, k + 1, width, block)
+
+    # Each vector is fetched once for its candidates, and the exact scores are summed in a fixed order.
+    asked = nodes.filter("asked").select(F.col("node").alias("query"), F.col("embedding").alias("q"))
+    scored = pairs.join(nodes.select("node", "ids", "embedding"), "node").join(asked, "query").select("query", inner(F.col("q"), F.col("embedding")).alias("score"), F.explode("ids").alias("vec_id"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found = materialise(scored.withColumn("k", place).filter(F.col("k") <= k + 1).groupBy("query").agg(F.collect_list(F.struct("k", "score", "vec_id")).alias("best")), "found")
 
-    return parts.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, schema)
+    # Rows with one vector share a search; each leaves itself out.
+    of = queries.join(nodes.filter("asked").select("embedding", F.col("node").alias("query")), "embedding").select(F.col("vec_id").alias("query_id"), "query")
+    own = of.join(found, "query").withColumn("best", F.slice(F.filter(F.array_sort("best"), lambda x: x["vec_id"] != F.col("query_id")), 1, k))
+    return own.select("query_id", F.posexplode("best").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
