@@ -1,12 +1,14 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
 
 Terms of the index are adjacent word pairs (single words only for one-word items), so that even text made of common words has
-rare terms.  One pass over the documents stores the postings (row, position, term) of every term that a benchmark item has;
-the terms' frequencies are then counted over all documents.  Each test window starts from its rarest terms: their postings,
+rare terms.  One pass over the documents stores the hash of every term at its position, whatever the benchmark; the postings (row, position, term) of the
+terms that a benchmark has are drawn from it, and their frequencies counted over all documents.  Each test window starts from its rarest terms: their postings,
 shifted by the terms' offsets, are candidate starts.  They are intersected with the offset-adjusted lists of all its terms.  Lists may be
 shifted by up to ``slop`` words, and as many terms may be missing, as an edit breaks the pairs around it: exact phrases are matches without any shift
 or missing term, the others are proximity matches.  A window is dropped at once only if the corpus lacks more terms than may be missing.
 
+Terms are compared by 64-bit hashes: a false match would take wrong hashes of all terms of a window at their places in one text.
+
 Words are runs of small letters, digits and characters beyond ASCII after A-Z are lower-cased.  A null or empty text has no words; an
 item without words or with a null item_id takes no part; items with the same words share their windows; repeated documents each get their row.  Empty
 tables give an empty result, or rows without hits where only the benchmark is empty.
@@ -17,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import materialise, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A dictionary of so many terms (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: A dictionary of so many terms is broadcast; a larger one is joined by shuffle.
+BROADCAST_TERMS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -41,35 +43,36 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
 
 def terms_of(wins: DataFrame) -> DataFrame:
     """wid, n, off, term for each window's terms; a term is the hash of its two words."""
-    return wins.select("wid", "n", F.explode("terms").alias("t")).select("wid", "n", "t.off", "t.a", "t.b", F.xxhash64("t.a", "t.b").alias("term"))
+    return wins.select("wid", "n", F.explode("terms").alias("t")).select("wid", "n", "t.off", F.xxhash64("t.a", "t.b").alias("term"))
+
 
+def index(docs: DataFrame, text: str = "text", single: bool = False) -> DataFrame:
+    """The stored index, of every word of every text, whatever will be asked: row, doc_id, n_words, terms, singles.
 
-def postings(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """The stored index: row, doc_id, n_words, pos, term; one more row for each document has pos -1 and no term."""
-    found = terms.select("a", "b", "term").distinct()
-    n_terms, n_single = found.agg(F.count(F.lit(1)), F.count_if(F.col("b") == "")).first()
-    # The row that stands for the document itself comes through the same join as a term without words.
-    found = found.unionByName(found.sparkSession.range(1).select(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(None).cast("bigint").alias("term")))
-    found = F.broadcast(found) if n_terms <= BROADCAST_TERMS else found
+    ``terms`` holds the hash of each adjacent word pair at its position; ``singles`` those of single words, if items of one word are to be found too.
+    Materialise it before it is used; any benchmark can be matched against it.
+    """
     w = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("w"))
-    own = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b")))
     after = F.when(F.size("w") > 1, F.slice("w", 2, F.size("w"))).otherwise(F.array().cast("array<string>"))
-    pairs = F.arrays_zip(F.col("w").alias("a"), after.alias("b")).cast("array<struct<a:string,b:string>>")
-    parts = [own, pairs]
-    if n_single:  # items of one word
-        parts.append(F.transform("w", lambda x: F.struct(x.alias("a"), F.lit("").alias("b"))))
-    exploded = w.select("row", "doc_id", F.size("w").alias("n_words"), F.posexplode(F.concat(*parts)).alias("p", "t"))
-    place = F.when(F.col("p") > F.col("n_words"), F.col("p") - F.col("n_words")).otherwise(F.col("p")) - 1
-    return exploded.select("row", "doc_id", "n_words", place.alias("pos"), "t.a", "t.b").join(found, ["a", "b"]).select("row", "doc_id", "n_words", "pos", "term")
+    pairs = F.transform(F.arrays_zip(F.slice("w", 1, F.size(after)).alias("a"), after.alias("b")), lambda x: F.xxhash64(x["a"], x["b"]))
+    ones = F.transform("w", lambda x: F.xxhash64(x, F.lit(""))) if single else F.array().cast("array<bigint>")
+    return w.select("row", "doc_id", F.size("w").alias("n_words"), pairs.alias("terms"), ones.alias("singles"))
+
+
+def postings(stored: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings (row, pos, term) of the terms that are asked for."""
+    asked = small(materialise(terms.select("term").distinct(), "terms"), BROADCAST_TERMS)
+    each = stored.select("row", F.posexplode("terms").alias("pos", "term"))
+    ones = stored.filter(F.size("singles") > 0).select("row", F.posexplode("singles").alias("pos", "term"))
+    return each.join(asked, "term").select("row", "pos", "term").unionByName(ones.join(asked, "term").select("row", "pos", "term"))
 
 
-def matches(index: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
-    """Window matches in the stored index: row, wid, start, n, exact (false: only by proximity).
+def matches(listed: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
+    """Window matches in the postings: row, wid, start, n, exact (false: only by proximity).
 
     Proximity asks for all of a window's terms but ``slop`` of them, and but half of them at most, each within ``slop`` words of its place.  As an
     inserted word breaks one pair, and a deleted or replaced word two, slop 2 finds windows with any one of these.
     """
-    listed = index.filter("pos >= 0").select("row", "pos", "term")
     freq = listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = terms.select("wid", "n", "off", "term").join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     by_window = Window.partitionBy("wid")
@@ -100,14 +103,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sl
     """
     wins = materialise(windows(benchmark, window), "test-windows")
     terms = terms_of(wins)
-    index = materialise(postings(docs, terms), "postings")
-    found = materialise(matches(index, terms, slop), "matches")
+    single = bool(wins.filter("n = 1").limit(1).count())
+    stored = materialise(index(docs, single=single), "index")
+    found = materialise(matches(materialise(postings(stored, terms), "postings"), terms, slop), "matches")
     exact = found.filter("exact")
     hit = exact.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.groupBy("row", "wid").agg(F.max("exact").alias("exact")).join(wins.select("wid", F.explode("items").alias("item")), "wid")
     named = named.groupBy("row", "item").agg(F.max("exact").alias("exact"))
     items = named.groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.count_if(~F.col("exact")).alias("n_near_items"))
-    rows = index.filter("pos < 0").select("row", "doc_id", "n_words")
+    rows = stored.select("row", "doc_id", "n_words")
     none = F.array().cast("array<string>")
     return (
         rows.join(hit.join(items, "row", "full"), "row", "left")
