@@ -1,8 +1,10 @@
 """Language identification, word first with backoff to shorter and shorter character n-grams.
 
 Learning counts every word of every text with a known language, over the whole corpus: words are counted in each
-task, then summed.  The model holds, for each language, log relative frequencies of its ``words`` most frequent words and, for each length from ``longest`` down to 1,
-of its ``grams`` most frequent n-grams (of words with a mark at either end); its size is bounded, whatever the corpus.
+task, then summed.  The model holds, for each language, log relative frequencies of its most frequent words and, for each length from ``longest`` down to 1,
+of its most frequent n-grams (of words with a mark at either end): those over the least count that leaves at most ``words`` or ``grams`` of them, which a table of how many
+have each count tells, so nothing is ever sorted.  What one language keeps has its true frequency in all.  The model's size is bounded, whatever the corpus; what the bound
+costs is in the README.
 
 A known word scores by its log frequency in each language.  An unseen word is scored by its n-grams of the greatest length of which any is known, in the mean.  A
 text's language has the largest sum, and the score is that language's posterior after the mean over words, so it doesn't saturate with length.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import Memo
-from vellum.llm.common import materialise, slices
+from vellum.llm.common import materialise, release, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -111,14 +113,27 @@ class Model:
         return out
 
 
+def frequent(counts: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
+    """Rows (``by``, ``key``, n) of the keys that any language keeps: in each group those over the least count that at most ``most`` exceed.
+
+    The cut comes from a table of counts of counts, which stays small; kept keys then meet all counts again, so a key has its true count in every language.
+    """
+    sizes = counts.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("c"))
+    above = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
+    cuts = sizes.withColumn("above", above).filter(F.col("above") <= most).groupBy(*by).agg(F.min("n").alias("cut"))
+    shared = [c for c in by if c != "lang"]
+    kept = counts.join(F.broadcast(cuts), by).filter("n >= cut").select(*shared, key).distinct()  # a row for each language and length
+    return counts.join(kept, [*shared, key], "left_semi")
+
+
 def learn(docs: DataFrame, *, words: int = 30_000, grams: int = 8_000, longest: int = 5) -> Model:
     """Count all rows whose lang is not null, keep each language's most frequent words and n-grams."""
     counts = materialise(counted(docs.filter("lang IS NOT NULL")), "words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))).filter(F.col("k") <= words).select("lang", F.lit(0).alias("size"), F.col("word").alias("key"), "n")
-    pieces = gram_counts(counts, longest)
-    ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "gram"))).filter(F.col("k") <= grams).select("lang", "size", F.col("gram").alias("key"), "n")
-    rows = best.unionByName(ranked).toArrow().to_pylist()  # bounded by the three parameters and the number of languages
+    best = frequent(counts, ["lang"], "word", words).select("lang", F.lit(0).alias("size"), F.col("word").alias("key"), "n")
+    pieces = materialise(gram_counts(counts, longest), "grams")
+    ranked = frequent(pieces, ["lang", "size"], "gram", grams).select("lang", "size", F.col("gram").alias("key"), "n")
+    rows = best.unionByName(ranked).toArrow().to_pylist()  # bounded by the three parameters and the square of the number of languages
     langs = sorted(totals)
     at = {lang: i for i, lang in enumerate(langs)}
     tables: list[dict[str, list[float]]] = [{} for _ in range(longest + 1)]
@@ -145,5 +160,6 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
         for b in slices(batches):
             found = own.predict(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+        release()
 
     return narrow.mapInArrow(run, f"{kept}, lang_pred string, score double")
