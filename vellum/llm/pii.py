@@ -6,7 +6,10 @@ address.  A surrogate is drawn from an HMAC of the kind and the normalised value
 card numbers stay Luhn-valid, IBANs mod-97-valid, addresses stay routable, e-mail domains become reserved ones.
 
 Distinctness is checked over the corpus: where two entities draw the same surrogate, or one that is an entity itself, all but the
-smallest draw again, until none collide.  Names and e-mail addresses, whose first shapes are few, grow by a part with each new draw.
+smallest draw again, until none collide.  Names and e-mail addresses, whose first shapes are few, grow by a part with each new draw, and numbers by a digit
+from the ninth draw on, when nearly all of their shape must be in use: so there always is a free one.
+
+The key is the caller's: whoever knows it can tell which number a surrogate stands for.
 
 A null text has no entities and stays null; repeated rows are replaced alike; overlapping detections keep the earliest, then the longest;
 an empty table gives an empty result.
@@ -121,15 +124,18 @@ def drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
         shape += "".join(chr(97 + d(26)) for _ in range(attempt))
         part = Draw(key, f"domain|{domain}")
         return f"{shape}@{''.join(chr(97 + part(26)) for _ in range(8))}.example.{('com', 'net', 'org')[part(3)]}"
+    more = [str(d(10)) for _ in range(attempt - 7)]  # nearly all of this shape is in use
+    if kind == "ip" and more:
+        return f"{1 + d(223)}.{d(256)}.{d(256)}.{1 + d(254)}"
     if kind == "ip":
         return f"{(11, 23, 45, 62, 78, 91, 104, 133, 151, 176, 188, 201)[d(12)]}.{d(256)}.{d(256)}.{1 + d(254)}"
     if kind == "card":
-        body = value[0] + "".join(str(d(10)) for _ in value[1:-1])
+        body = value[0] + "".join([*(str(d(10)) for _ in value[1:-1]), *more])
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
     if kind == "ssn":
-        return f"{900 + d(100)}{1 + d(99):02d}{1 + d(9999):04d}"  # numbers that are never given out
+        return f"{900 + d(100)}{1 + d(99):02d}{1 + d(9999):04d}{''.join(more)}"  # numbers that are never given out
     if kind == "iban":
-        body = "".join(str(d(10)) if c.isdigit() else chr(65 + d(26)) for c in value[4:])
+        body = "".join(str(d(10)) if c.isdigit() else chr(65 + d(26)) for c in value[4:]) + "".join(more)
         return f"{value[:2]}{98 - mod97(value[:2] + '00' + body):02d}{body}"
     if kind == "name":
         gender, _, name = value.partition(":")
@@ -137,7 +143,7 @@ def drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
         family = "".join(FAMILY[script][d(16)] for _ in range(3 + attempt)).capitalize()
         return f"{gender}:{family if ' ' not in name else GIVEN[script, gender][d(len(GIVEN[script, gender]))] + ' ' + family}"
     lead = 2 if value.startswith("+") else 1  # a phone number keeps the start of its country code
-    return value[:lead] + "".join(map(digit, value[lead:]))
+    return value[:lead] + "".join([*map(digit, value[lead:]), *more])
 
 
 def written(kind: str, mention: str, surrogate: str) -> str:
@@ -154,10 +160,10 @@ def written(kind: str, mention: str, surrogate: str) -> str:
     if kind == "email":
         return surrogate.upper() if mention.isupper() else surrogate
     letters = iter(surrogate)
-    return "".join(next(letters, "") if c.isalnum() or c == "+" else c for c in mention)
+    return "".join([*(next(letters, "") if c.isalnum() or c == "+" else c for c in mention), *letters])
 
 
-def surrogates(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+def surrogates(entities: DataFrame, key: bytes, rounds: int = 100) -> DataFrame:
     """kind, value -> surrogate for distinct entities, no two alike and none an entity itself."""
 
     def draw(attempt: int):  # noqa: ANN202
@@ -221,11 +227,11 @@ def row_key(text: str):  # noqa: ANN201
     return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(text)), 256)
 
 
-def replace(docs: DataFrame, *, key: bytes = b"vellum", text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, *, key: bytes, text: str = "text") -> DataFrame:
     """doc_id, text with surrogates, spans (kind:start:end, comma-joined, of the original), and the number of entities of each kind."""
     found = materialise(detected(docs, text), "entities")
     each = found.select("key", F.explode("found").alias("x")).select("key", "x.*")
-    chosen = surrogates(materialise(each.select("kind", "value").distinct(), "distinct"), key)
+    chosen = small(materialise(surrogates(materialise(each.select("kind", "value").distinct(), "distinct"), key), "chosen"), 200_000)
     spans = each.join(chosen, ["kind", "value"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("spans"))
     spans = small(materialise(spans, "spans"), 50_000)
 

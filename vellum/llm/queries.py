@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -63,7 +64,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dac.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), materialise)
+    return dac.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents"))
+    """Surrogates under the key that the session's ``vellum.pii.key`` gives, else under a key of this run that nobody gets to know."""
+    key = spark.conf.get("vellum.pii.key", None)
+    return pii.replace(table(spark, sf_dir, "documents"), key=key.encode() if key else os.urandom(32))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
