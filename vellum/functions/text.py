@@ -33,8 +33,8 @@ def normal_newlines(c: Column) -> Column:
 
 
 def tag_slug(c: Column) -> Column:
-    """Lower case; other characters than a-z, 0-9 become one hyphen, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(F.lower(c)), r"[^a-z0-9\-]", "-"), "-+", "-"), "^-|-$", "")
+    """Lower case; runs of other characters than a-z, 0-9 become one hyphen, none at the ends.  One pattern: columns derived from it may be computed more than once."""
+    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def accepted_tag(slug: Column) -> Column:
@@ -93,5 +93,17 @@ def retry_delay(message: Column, default: float = 10.0) -> Column:
 
 
 def quoted_lines(c: Column) -> Column:
-    """Each line behind a quote mark."""
-    return F.array_join(F.transform(F.split(c, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.when(x == "", F.lit(">")).otherwise(F.concat(F.lit("> "), x))), "\n")
+    """Each line behind a quote mark, blank ones as the mark alone; an end of line at the end makes no line."""
+    lines = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return F.array_join(F.transform(lines, lambda x: F.when(strip(x) == "", F.lit(">")).otherwise(F.concat(F.lit("> "), x))), "\n")
+
+
+def combined(texts: Column, n: int = 1500) -> Column:
+    """A note's chunks in order (an array) as one text of ``n`` characters at most."""
+    return F.substring(F.array_join(texts, "\n\n"), 1, n)
+
+
+def first_chunks(texts: Column, each: int = 300, n: int = 600) -> Column:
+    """The beginnings of the first two chunks, as much of them as a prompt takes."""
+    return F.substring(F.array_join(F.transform(F.slice(texts, 1, 2), lambda t: F.substring(t, 1, each)), "\n\n"), 1, n)
