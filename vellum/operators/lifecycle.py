@@ -25,6 +25,13 @@ TRANSITIONS = (
 ROLLBACK = ("READY_FOR_REASONING", "INDEXED")
 
 
+#: A note's row in the state table.
+STATE = (
+    "file_path string, current_state string, last_edit_time double, last_index_time double, last_reason_time double, content_hash string, "
+    "last_reasoned_hash string, last_reasoned_body_hash string, embedding_version string, reasoning_version string"
+)
+
+
 def legal(before: Column, after: Column) -> Column:
     return F.concat(before, F.lit(">"), after).isin(*[f"{a}>{b}" for a, b in TRANSITIONS])
 
@@ -70,18 +77,63 @@ def index_tick(states: DataFrame, files: DataFrame, now: Column, cfg: Config = D
     return both.select("file_path", F.col("current_state").alias("before"), new.alias("after"), embed.alias("embed"), (turn & gone).alias("removed"))
 
 
+def indexed(states: DataFrame, ticks: DataFrame, files: DataFrame, now: Column, version: str) -> DataFrame:
+    """States after an index pass whose vectors are stored: the next pass finds the hashes that are written here.
+
+    An embedded note gets its hash, the time and the encoder's ``version``; one that is INDEXED without embedding gets hash and time; one that is
+    REASONED again only the state; rows of vanished files go.
+    """
+    both = states.join(ticks.select("file_path", "before", "after", "embed", "removed"), "file_path").join(files.select("file_path", "hash"), "file_path", "left").filter(~F.col("removed"))
+    turned = (F.col("before").isin("DIRTY", "STABILIZING")) & (F.col("after") == "INDEXED")
+    return (
+        both.withColumn("current_state", F.col("after"))
+        .withColumn("last_index_time", F.when(turned, now).otherwise(F.col("last_index_time")))
+        .withColumn("content_hash", F.when(turned, F.col("hash")).otherwise(F.col("content_hash")))
+        .withColumn("embedding_version", F.when(F.col("embed"), F.lit(version)).otherwise(F.col("embedding_version")))
+        .select(*states.columns)
+    )
+
+
 def reason_tick(states: DataFrame, now: Column, cfg: Config = DEFAULT) -> DataFrame:
-    """Indexed notes whose last reasoning is long enough ago, as many as the budget takes, in order of path."""
+    """Indexed notes whose last reasoning is long enough ago, as many as the budget takes, in order of path; none while they are fewer than a batch."""
     ready = states.filter((F.col("current_state") == "INDEXED") & (now - F.coalesce("last_reason_time", F.lit(0.0)) >= cfg.cooldown_s))
-    return ready.orderBy("file_path").limit(cfg.notes_per_pass)
+    chosen = ready.orderBy("file_path").limit(max(cfg.notes_per_pass, cfg.least_per_pass))
+    if cfg.least_per_pass > 1:  # at most that many rows
+        chosen = chosen.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).filter(F.col("__n") >= cfg.least_per_pass).drop("__n")
+    return chosen.orderBy("file_path").limit(cfg.notes_per_pass)
+
+
+def made_ready(states: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Chosen INDEXED notes become READY_FOR_REASONING."""
+    mark = chosen.select("file_path", F.lit(True).alias("__chosen"))
+    state = F.when(F.col("__chosen") & (F.col("current_state") == "INDEXED"), "READY_FOR_REASONING").otherwise(F.col("current_state"))
+    return states.join(mark, "file_path", "left").withColumn("current_state", state).drop("__chosen")
 
 
 def after_reasoning(states: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """States after outcomes (file_path, ok, started_at, finished_at): back to INDEXED on failure, DIRTY if edited meanwhile, else REASONED."""
-    both = states.join(outcomes, "file_path", "left")
+    """States after outcomes (file_path, ok, started_at, finished_at; also hash, body_hash and model of what was written): back to INDEXED on failure, DIRTY if edited meanwhile, else REASONED.
+
+    A REASONED note gets both hashes and the model's name, so that its own new text, or one with the same body, isn't reasoned about again.
+    """
+    extra = {"hash": "last_reasoned_hash", "body_hash": "last_reasoned_body_hash", "model": "reasoning_version"}
+    own = outcomes.select("file_path", "ok", "started_at", "finished_at", *[(F.col(c) if c in outcomes.columns else F.lit(None).cast("string")).alias(f"__{c}") for c in extra])
+    both = states.join(own, "file_path", "left")
     ours = F.col("ok").isNotNull() & (F.col("current_state") == "READY_FOR_REASONING")
     new = F.when(~ours, F.col("current_state")).when(~F.col("ok"), "INDEXED").when(F.coalesce("last_edit_time", F.lit(0.0)) > F.col("started_at"), "DIRTY").otherwise("REASONED")
-    return both.withColumn("current_state", new).withColumn("last_reason_time", F.when(ours & F.col("ok"), F.col("finished_at")).otherwise(F.col("last_reason_time"))).drop("ok", "started_at", "finished_at")
+    done = ours & F.col("ok")
+    columns = {"current_state": new, "last_reason_time": F.when(done, F.col("finished_at")).otherwise(F.col("last_reason_time"))}
+    columns |= {name: F.when(done, F.coalesce(f"__{c}", name)).otherwise(F.col(name)) for c, name in extra.items() if name in states.columns}
+    return both.withColumns(columns).select(*states.columns)
+
+
+def state_of(states: DataFrame, paths: DataFrame) -> DataFrame:
+    """The rows of the paths asked for."""
+    return states.join(paths.select("file_path").distinct(), "file_path", "left_semi")
+
+
+def in_state(states: DataFrame, *wanted: str) -> DataFrame:
+    """All notes in one of the states (every note, if none is named), in order of path."""
+    return (states.filter(F.col("current_state").isin(*wanted)) if wanted else states).orderBy("file_path")
 
 
 def debounce(edits: DataFrame, key: str, ts: str, gap_s: float) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.config import DEFAULT, Config
-from vellum.functions.text import GENERIC_TAGS
+from vellum.functions.text import accepted_tag
 
 
 def tag_counts(tagged: DataFrame) -> DataFrame:
@@ -37,31 +37,89 @@ def without_documents(tagged: DataFrame, gone: DataFrame) -> DataFrame:
     return tagged.select("tag").distinct().join(left, "tag", "left").select("tag", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
+def of_documents(named: DataFrame, docs: DataFrame, name: str = "tag") -> DataFrame:
+    """What a registry (``name``, doc) holds for the documents asked for: doc and a sorted array, empty where it holds nothing."""
+    own = named.join(docs.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_set(name)).alias("names"))
+    return docs.select("doc").distinct().join(own, "doc", "left").select("doc", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
+def union_distinct(*sets: DataFrame) -> DataFrame:
+    """Rows that any of the tables has, once."""
+    return union_all(*sets).distinct()
+
+
+def union_all(*bags: DataFrame) -> DataFrame:
+    """Rows of all tables, as often as they have them."""
+    out = bags[0]
+    for b in bags[1:]:
+        out = out.unionByName(b)
+    return out
+
+
+def canonical_distinct(resolved_mentions: DataFrame) -> DataFrame:
+    """Each document's entities, once: doc, entity."""
+    return resolved_mentions.filter(F.coalesce("entity", F.lit("")) != "").select("doc", "entity").distinct()
+
+
+def onto_chunks(chunks: DataFrame, tagged: DataFrame, entities: DataFrame) -> DataFrame:
+    """Chunks (file_path, ...) with their document's tags and entities as sorted arrays."""
+    t = tagged.groupBy(F.col("doc").alias("file_path")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    e = entities.groupBy(F.col("doc").alias("file_path")).agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+    none = F.array().cast("array<string>")
+    both = chunks.drop("tags", "entities").join(t, "file_path", "left").join(e, "file_path", "left")
+    return both.withColumn("tags", F.coalesce("tags", none)).withColumn("entities", F.coalesce("entities", none))
+
+
+def without_entity_documents(entity_docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Entities with the number of documents left after some are removed; an entity without any stays, with 0."""
+    left = entity_docs.join(gone.select("doc"), "doc", "left_anti").dropDuplicates(["entity", "doc"]).groupBy("entity").agg(F.count(F.lit(1)).alias("n_docs"))
+    return entity_docs.select("entity").distinct().join(left, "entity", "left").select("entity", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def alias_json(aliases: DataFrame) -> DataFrame:
+    """The alias map as one compact JSON object, as prompts show it: a single row ``json``.  A prompt bounds what a registry may hold."""
+    pairs = alias_map(aliases).filter("canonical IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("alias", "canonical"))).alias("p"))
+    return pairs.select(F.to_json(F.map_from_entries("p")).alias("json"))
+
+
+def counts_json(counts: DataFrame) -> DataFrame:
+    """tag -> number of documents as one JSON object: a single row ``json``."""
+    return counts.agg(F.array_sort(F.collect_list(F.struct("tag", "n_docs"))).alias("p")).select(F.to_json(F.map_from_entries("p")).alias("json"))
+
+
 def replay_tags(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(space, seq, doc, candidates array, proposed array), normalised slugs -> tags that each document gets, documents in order of ``seq``.
+    """(space, seq, doc, candidates array, proposed array), normalised slugs -> tags that each document gets, documents in order of ``seq``: space, seq, doc, tags.
 
-    A registered tag is taken at once; a new one is registered, and taken if it was proposed and has three characters; tags that the document
-    has and enough documents have are taken too.  Distinct, then capped.
-    """
+    A registered tag is taken at once; a new one is registered, and taken if it was proposed and has three characters, or is named again; tags that the document
+    has and enough documents have by then are taken too.  Distinct, then capped.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        holders: dict[str, set] = {}
-        rows = []
-        for r in pdf.sort_values("seq").itertuples():
-            got: list[str] = []
-            proposed = set(r.proposed)
-            for tag in [*r.candidates, *r.proposed]:
-                if not tag or tag in GENERIC_TAGS:
-                    continue
-                known = tag in holders
-                holders.setdefault(tag, set()).add(r.doc)
-                if known or (tag in proposed and len(tag) >= 3):
-                    got.append(tag)
-            got += [t for t, d in holders.items() if r.doc in d and len(d) >= cfg.tag_min_documents]
-            rows.append((r.space, r.doc, list(dict.fromkeys(got))[: cfg.max_tags]))
-        return pd.DataFrame(rows, columns=["space", "doc", "tags"])
-
-    return docs.groupBy("space").applyInPandas(run, "space string, doc string, tags array<string>")
+    Who came before is a matter of the first ``seq`` of a tag, and when enough documents have it of the n-th smallest first ``seq`` of its documents: both are
+    aggregates, so nothing is replayed row by row and no registry is one task.
+    """
+    empty = F.array().cast("array<string>")
+    named = docs.select("space", "seq", "doc", F.coalesce("candidates", empty).alias("c"), F.coalesce("proposed", empty).alias("p"))
+    each = named.select("space", "seq", "doc", "p", F.posexplode(F.concat("c", "p")).alias("at", "tag")).filter(F.col("tag").isNotNull() & accepted_tag(F.col("tag")))
+    items = each.groupBy("space", "seq", "doc", "tag").agg(F.array_sort(F.collect_list("at")).alias("at"), F.max(F.array_contains("p", F.col("tag"))).alias("proposed"))
+
+    held = items.groupBy("space", "tag", "doc").agg(F.min("seq").alias("since"))
+    place = F.row_number().over(Window.partitionBy("space", "tag").orderBy("since", "doc"))
+    early = held.withColumn("i", place).filter(F.col("i") <= max(1, cfg.tag_min_documents))  # Spark cuts each task's rows to those before the shuffle
+    tags = early.groupBy("space", "tag").agg(F.min("since").alias("first"), F.max(F.when(F.col("i") == cfg.tag_min_documents, F.col("since"))).alias("enough"))
+    born = items.join(tags, ["space", "tag"]).filter(F.col("seq") == F.col("first")).groupBy("space", "tag").agg(F.min(F.col("at")[0]).alias("born"))
+
+    known = items.join(tags, ["space", "tag"]).withColumn("old", F.col("first") < F.col("seq"))
+    at_once = F.col("old") | (F.col("proposed") & (F.length("tag") >= 3))
+    taken = known.withColumn("k", F.when(at_once, F.col("at")[0]).otherwise(F.get("at", F.lit(1)))).filter("k IS NOT NULL")
+    own = held.join(tags, ["space", "tag"]).join(born, ["space", "tag"]).filter("enough IS NOT NULL")
+    grown = named.select("space", "seq", "doc").join(own, ["space", "doc"]).filter((F.col("since") <= F.col("seq")) & (F.col("enough") <= F.col("seq")))
+    # Tags taken at once come first, in the order of the note, then the others in the order in which they were registered.
+    seq = docs.schema["seq"].dataType
+    at_once = F.struct(F.lit(0).alias("part"), F.col("k").alias("k"), F.lit(None).cast(seq).alias("first"), "tag")
+    later = F.struct(F.lit(1).alias("part"), F.col("born").alias("k"), F.col("first").alias("first"), "tag")
+    order = lambda a, b: F.when(a["part"] != b["part"], a["part"] - b["part"]).when(a["first"] < b["first"], -1).when(a["first"] > b["first"], 1).when(a["k"] != b["k"], a["k"] - b["k"]).when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1).otherwise(0)
+    got = taken.select("space", "seq", "doc", at_once.alias("r")).unionByName(grown.select("space", "seq", "doc", later.alias("r")))
+    lists = got.groupBy("space", "seq", "doc").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list("r"), order), lambda x: x["tag"])), 1, cfg.max_tags).alias("tags"))
+    return named.select("space", "seq", "doc").join(lists, ["space", "seq", "doc"], "left").select("space", "seq", "doc", F.coalesce("tags", empty).alias("tags"))
 
 
 def alias_map(aliases: DataFrame) -> DataFrame:
