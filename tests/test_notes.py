@@ -2,10 +2,13 @@
 
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.config import Config
+from vellum.functions.text import GENERIC_TAGS
 from vellum.operators import backlinks, chunking, judge, lifecycle, registry, vectors
 from vellum.sources import notes, store
 
@@ -27,6 +30,10 @@ def W(n):  # noqa: N802
         (f"#tag1 #tag2\n![[img.png]]\n{W(40)}", [("paragraph", "preamble", 40)]),
         (f"{W(40)}\n\n# D\n\n- x", [("paragraph", "preamble", 44)]),
         (f"- {W(30)}\n\n- {W(30)}", [("bullets", "preamble", 62)]),
+        (f"- {W(60)}\n\n  {W(60)}", [("bullets", "preamble", 61), ("paragraph", "preamble", 60)]),
+        (f"- {W(60)}\n  ---\n  {W(10)}", [("bullets", "preamble", 72)]),
+        (f"- {W(60)}\n  #tag\n  {W(10)}", [("bullets", "preamble", 72)]),
+        ("\n".join([W(200), "   ", W(200)]), [("paragraph", "preamble", 400)]),
         ("", []), ("\n \n---\n#tag\n", []),
         ("\n\n".join([W(30)] * 12), [("paragraph", "preamble", 240), ("paragraph", "preamble", 120)]),
     ],
@@ -52,10 +59,36 @@ def test_tags_replayed(spark):
     rows = [(0, 1, "d1", ["mind-fulness"], []), (0, 2, "d2", ["mind-fulness"], []), (0, 3, "d1", [], []), (0, 4, "d3", [], ["ai"]), (0, 5, "d3", ["yoga"], ["yoga"])]
     schema = "space int, seq int, doc string, candidates array<string>, proposed array<string>"
     for n, want in enumerate([[], ["mind-fulness"], ["mind-fulness"], [], ["yoga"]], 1):
-        got = registry.replay_tags(spark.createDataFrame(rows[:n], schema).withColumn("space", F.col("space").cast("string"))).collect()
+        got = registry.replay_tags(spark.createDataFrame(rows[:n], schema).withColumn("space", F.col("space").cast("string"))).orderBy("seq").collect()
         assert got[-1].tags == want
 
 
+def brute_tags(rows, least=2, most=8):
+    """Documents one after the other."""
+    holders, out = {}, []
+    for _, seq, doc, candidates, proposed in rows:
+        got = []
+        for tag in [*candidates, *proposed]:
+            if tag and tag not in GENERIC_TAGS:
+                known = tag in holders
+                holders.setdefault(tag, set()).add(doc)
+                if known or (tag in proposed and len(tag) >= 3):
+                    got.append(tag)
+        got += [t for t, d in holders.items() if doc in d and len(d) >= least]
+        out.append((seq, list(dict.fromkeys(got))[:most]))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_tags_against_a_replay(spark, least):
+    rng = random.Random(least)
+    names = [f"t{i}" for i in range(12)] + ["ai", "xy", "life", ""]
+    rows = [("s", i, f"d{rng.randrange(25)}", rng.choices(names, k=rng.randrange(6)), rng.choices(names, k=rng.randrange(4))) for i in range(60)]
+    df = spark.createDataFrame(rows, "space string, seq int, doc string, candidates array<string>, proposed array<string>")
+    got = registry.replay_tags(df, Config(tag_min_documents=least)).orderBy("seq").collect()
+    assert [(r.seq, r.tags) for r in got] == brute_tags(rows, least)
+
+
 def test_entities_replayed(spark):
     rows = [("s", 1, "rohit", "Rohit Sharma"), ("s", 2, "ROHIT", "R. Sharma"), ("s", 3, "X", ""), ("s", 4, "", "Y"), ("s", 5, "", "")]
     got = {r.entity: r.aliases for r in registry.replay_entities(spark.createDataFrame(rows, "space string, seq int, surface string, canonical string")).collect()}

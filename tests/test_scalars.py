@@ -90,7 +90,7 @@ def test_pages(spark):
     rows = spark.createDataFrame([("p1", '```json\n{"text": "a\\nb", "summary": "s", "written_date": "04/03/26", "title": "Day"}\n```', ["x.jpg", "y.png"]), ("p2", "just words", ["z.jpg"])], "page string, answer string, files array<string>")
     got = {r.page: r for r in ingest.pages(rows).collect()}
     assert got["p1"].page_id == "04-03-26 - Day" and "> a\n> b" in got["p1"].text and "![[04-03-26 - Day - p2.png]]" in got["p1"].text
-    assert got["p2"].page_id == "Entry" and "> just words" in got["p2"].text and "![[Entry.jpg]]" in got["p2"].text
+    assert got["p2"].page_id == "Untitled Entry" and "> just words" in got["p2"].text and "![[Untitled Entry.jpg]]" in got["p2"].text
 
 
 def test_rotation(spark):

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum import engine
 from vellum.config import DEFAULT
 from vellum.functions import markdown as md
 from vellum.functions import text as tx
 from vellum.operators import backlinks, chunking, ingest, judge, lifecycle, registry, vectors
+from vellum.shared import materialise, shared_dir
 from vellum.sources import store
 from vellum.sources.notes import notes_from_documents, table
+from vellum.streaming import edits
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -180,9 +183,9 @@ def markdown_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("text", tagged).select("doc_id", F.sha2(md.add_links(F.col("text"), link), 256).alias("after"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'v/' || page_id || '.md' WHEN 1 THEN 'v/.' || page_id || '.md' WHEN 2 THEN 'v/~' || page_id || '.md'
+@query(f"""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'v/' || page_id || '.md' WHEN 1 THEN 'v/.' || page_id || '.md' WHEN 2 THEN 'v/~' || page_id || '.md'
   WHEN 3 THEN 'templates/' || page_id || '.md' WHEN 4 THEN 'v/_' || page_id || '.md' ELSE url END AS path FROM pages)
-SELECT page_id, path FROM p WHERE path LIKE '%.md' AND NOT regexp_matches(path, '/[.~][^/]*$') AND NOT list_has_any(string_split(path, '/'), ['.obsidian', 'attachments', 'templates', '_templates', '.trash'])""")
+SELECT page_id, path FROM p WHERE path LIKE '%.md' AND NOT regexp_matches(path, '/[.~][^/]*$') AND NOT list_has_any(string_split(path, '/'), [{", ".join(f"'{d}'" for d in DEFAULT.ignored_dirs)}])""")
 def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id").cast("string")
     made = [F.concat(F.lit(a), i, F.lit(".md")) for a in ("v/", "v/.", "v/~", "templates/", "v/_")]
@@ -232,19 +235,29 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("n_words", tx.words(F.col("line")))
 
 
-@query(f"""WITH {_NOTES}, l AS (SELECT doc_id, i, parts[i + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM notes)))
-SELECT CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.+$') THEN 'heading' WHEN regexp_matches(trim(line), '^-{{3,}}$') THEN 'rule' WHEN regexp_matches(line, '^(\\s*[-*+]|\\s*\\d+\\.)\\s') THEN 'bullet'
-  WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind, count(*) AS n FROM l GROUP BY 1""")
-def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.col("line")
-    kind = F.when(line.rlike(r"^#{1,6}\s+.+$"), "heading").when(tx.strip(line).rlike("^-{3,}$"), "rule").when(line.rlike(r"^(\s*[-*+]|\s*\d+\.)\s"), "bullet").when(tx.strip(line) == "", "blank").otherwise("text")
-    return chunking.lines_of(notes_from_documents(spark, sf_dir), "doc_id", "text").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+_MIXED = """mixed AS (SELECT doc_id, i, CASE (doc_id + i) % 9 WHEN 0 THEN '## ' || line WHEN 1 THEN ' ---- ' WHEN 2 THEN '#one #two' WHEN 3 THEN '> ' || line WHEN 4 THEN '  - ' || line WHEN 5 THEN '12. ' || line WHEN 6 THEN '![[x.png]]' WHEN 7 THEN ' ' ELSE line END AS line
+  FROM (SELECT doc_id, i, parts[i + 1] AS line FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))))"""
 
 
-@query(f"""WITH {_LINES}, s AS (SELECT doc_id, pos, sum(CASE WHEN regexp_matches(line, '\\d{{1,2}}[/-]\\d{{1,2}}') AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM lines)
+@query(f"""WITH {_MIXED} SELECT CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+.+$') THEN 'heading' WHEN regexp_matches(trim(line), '^-{{3,}}$') THEN 'rule' WHEN regexp_matches(trim(line), '^#\\w+(\\s+#\\w+)*$') THEN 'tags' WHEN line LIKE '>%' THEN 'quote'
+  WHEN regexp_matches(line, '^(\\s*[-*+]|\\s*\\d+\\.)\\s') THEN 'bullet' WHEN trim(line) LIKE '![[%' THEN 'image' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind, count(*) AS n FROM mixed GROUP BY 1""")
+def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each line made into a kind of its own, by the operator's own test of lines."""
+    lines = chunking.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    k, line = (F.col("doc_id") + F.col("pos")) % 9, F.col("line")
+    made = [F.concat(F.lit("## "), line), F.lit(" ---- "), F.lit("#one #two"), F.concat(F.lit("> "), line), F.concat(F.lit("  - "), line), F.concat(F.lit("12. "), line), F.lit("![[x.png]]"), F.lit(" ")]
+    mixed = line
+    for i, m in enumerate(made):
+        mixed = F.when(k == i, m).otherwise(mixed)
+    return lines.groupBy(chunking.kind_of(mixed).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_LINES}, dated AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 1 THEN 'date: ' || pos ELSE line END AS line FROM lines),
+s AS (SELECT doc_id, pos, sum(CASE WHEN regexp_matches(line, '(?i)Date[_:]?\\s*\\d|\\d{{1,2}}[/-]\\d{{1,2}}') AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM dated)
 SELECT doc_id, CAST(seg AS INTEGER) AS seg, count(*) AS n_lines FROM s GROUP BY ALL""")
 def timestamp_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.quote_segments(_lines(spark, sf_dir), "doc_id").groupBy("doc_id", "seg").agg(F.count(F.lit(1)).alias("n_lines"))
+    dated = _lines(spark, sf_dir).withColumn("line", F.when(F.col("pos") % 4 == 1, F.concat(F.lit("date: "), F.col("pos").cast("string"))).otherwise(F.col("line")))
+    return chunking.quote_segments(dated, "doc_id").groupBy("doc_id", "seg").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(f"""WITH {_LINES}, g AS (SELECT *, sum(CASE WHEN n_words >= 38 OR pos = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM lines)
@@ -276,15 +289,15 @@ def conversation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Registries ----------------------------------------------------------------------------------------------------------
 
-_TAGS = """tagged AS (SELECT DISTINCT doc_id AS doc, tag, first_at AS pos FROM (SELECT doc_id, trim(regexp_replace(lower(w), '[^a-z0-9-]+', '-', 'g'), '-') AS tag, min(i) AS first_at
+_TAGS = f"""tagged AS (SELECT DISTINCT doc_id AS doc, tag, first_at AS pos FROM (SELECT doc_id, trim(regexp_replace(lower(w), '[^a-z0-9-]+', '-', 'g'), '-') AS tag, min(i) AS first_at
   FROM (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS ws FROM documents)) GROUP BY ALL)
-  WHERE tag <> '' AND tag NOT IN ('thoughts', 'life', 'general', 'misc', 'journal', 'entry', 'note', 'notes', 'today', 'day') AND length(tag) >= 3)"""
+  WHERE tag <> '' AND tag NOT IN ({", ".join(f"'{t}'" for t in tx.GENERIC_TAGS)}) AND length(tag) >= 3)"""
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\s+", -1)).alias("at", "w"))
-    slug = tx.tag_slug(F.col("w"))
-    return words.withColumn("tag", slug).filter(tx.accepted_tag(F.col("tag")) & (F.length("tag") >= 3)).groupBy("doc", "tag").agg(F.min("at").alias("at"))
+    """doc, tag, at (order of first use): slugs are made once a word and made distinct within the document, so that few rows come out of it."""
+    slugs = F.filter(F.transform(F.split("text", r"\s+", -1), tx.tag_slug), lambda t: tx.accepted_tag(t) & (F.length(t) >= 3))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.array_distinct(slugs)).alias("at", "tag"))
 
 
 @query(f"WITH {_TAGS} SELECT tag, count(DISTINCT doc) AS n_docs FROM tagged GROUP BY tag")
@@ -330,8 +343,79 @@ def entity_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT source, 'all', count(*) FROM (SELECT source FROM documents UNION ALL SELECT lang FROM documents) GROUP BY source""")
 def union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    every = d.select(F.explode(F.array("source", "lang")).alias("tag"))
-    return every.distinct().select("tag", F.lit("set").alias("kind"), F.lit(1).cast("bigint").alias("n")).unionAll(every.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select("tag", F.lit("all").alias("kind"), "n"))
+    parts = d.select(F.col("source").alias("tag")), d.select(F.col("lang").alias("tag"))
+    every = registry.union_all(*parts).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return registry.union_distinct(*parts).select("tag", F.lit("set").alias("kind"), F.lit(1).cast("bigint").alias("n")).unionAll(every.select("tag", F.lit("all").alias("kind"), "n"))
+
+
+_REGISTRY = """t AS (SELECT 'd' || (doc_id % 50) AS doc, source AS tag FROM documents UNION SELECT 'd' || (doc_id % 50), lang FROM documents)"""
+
+
+def _registry(spark: SparkSession, sf_dir: str, name: str = "tag") -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("doc", F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")))
+    return d.select("doc", F.explode(F.array("source", "lang")).alias(name)).distinct()
+
+
+@query(f"""WITH {_REGISTRY}, q AS (SELECT unnest(['d1', 'd7', 'none']) AS doc) SELECT q.doc, coalesce(string_agg(tag, '|' ORDER BY tag), '') AS names FROM q LEFT JOIN t ON q.doc = t.doc GROUP BY q.doc""")
+def tags_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("d1",), ("d7",), ("none",)], "doc string")
+    return registry.of_documents(_registry(spark, sf_dir), asked).select("doc", F.array_join("names", "|").alias("names"))
+
+
+@query(f"""WITH {_REGISTRY}, q AS (SELECT 'd' || (n_nationkey * 3) AS doc FROM nation) SELECT q.doc, coalesce(string_agg(tag, '|' ORDER BY tag), '') AS names FROM q LEFT JOIN t ON q.doc = t.doc GROUP BY q.doc""")
+def entities_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "nation").select(F.concat(F.lit("d"), (F.col("n_nationkey") * 3).cast("string")).alias("doc"))
+    return registry.of_documents(_registry(spark, sf_dir, "entity"), asked, "entity").select("doc", F.array_join("names", "|").alias("names"))
+
+
+@query(f"""WITH {_REGISTRY}, left_ AS (SELECT tag, count(DISTINCT doc) AS n FROM t WHERE doc NOT IN (SELECT 'd' || doc_id FROM labels WHERE toxic = 1) GROUP BY tag) SELECT DISTINCT t.tag AS entity, coalesce(n, 0) AS n_docs FROM t LEFT JOIN left_ USING (tag)""")
+def entity_remove_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"))
+    return registry.without_entity_documents(_registry(spark, sf_dir, "entity"), gone)
+
+
+@query("""SELECT DISTINCT o_custkey AS doc, coalesce(nullif(c_mktsegment, ''), 'x') AS entity FROM orders JOIN customer ON o_custkey = c_custkey""")
+def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return registry.canonical_distinct(both.select(F.col("o_custkey").alias("doc"), F.col("c_mktsegment").alias("entity")))
+
+
+@query("""WITH a AS (SELECT lower(n_name) AS alias, max_by(r_name, n_nationkey) AS canonical FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT '{' || string_agg('"' || alias || '":"' || canonical || '"', ',' ORDER BY alias) || '}' AS json FROM a""")
+def entity_alias_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return registry.alias_json(both.select(F.col("n_name").alias("alias"), F.col("r_name").alias("canonical"), F.col("n_nationkey").alias("seq")))
+
+
+@query("""SELECT n_name AS entity FROM nation WHERE n_nationkey % 2 = 0 AND n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 3)""")
+def entity_notes_to_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    flagged = n.select(F.col("n_name").alias("entity"), (F.col("n_nationkey") % 2 == 0).alias("create_note"))
+    named = table(spark, sf_dir, "supplier").filter("s_suppkey <= 3").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("title"))
+    return registry.notes_to_create(flagged, n.filter("n_regionkey < 3").select(F.col("n_name").alias("entity")), named).select("entity")
+
+
+@query("""SELECT n_name, sha256('---' || chr(10) || 'tags: [person]' || chr(10) || 'entity_type: PERSON' || chr(10) || '---' || chr(10) || chr(10) || '# ' || n_name || chr(10) || chr(10) || '*Auto-generated entity note.*' || chr(10)) AS digest FROM nation""")
+def entity_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_name", F.sha2(md.entity_note(F.col("n_name"), F.lit("PERSON")), 256).alias("digest"))
+
+
+_STEP = """s AS (SELECT space, doc, seq, tag, min(pos) AS pos FROM (SELECT 's' || (event_id % 3) AS space, 'u' || user_id AS doc, event_id AS seq, unnest(['tag ' || (event_id % 40), event_type]) AS raw, unnest([0, 1]) AS pos FROM events) x, LATERAL (SELECT replace(raw, ' ', '-') AS tag) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_STEP}, d AS (SELECT space, tag, doc, min(seq) AS since FROM s GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY space, tag ORDER BY since) AS k FROM d),
+f AS (SELECT space, tag, min(since) AS first, min(since) FILTER (k = 2) AS enough FROM n GROUP BY ALL), b AS (SELECT space, tag, pos AS born FROM s JOIN f USING (space, tag) WHERE seq = first),
+g AS (SELECT s.space, s.seq, s.doc, s.tag, 0 AS part, NULL AS first, s.pos AS k FROM s JOIN f USING (space, tag) WHERE f.first < s.seq
+  UNION ALL SELECT r.space, r.seq, r.doc, d.tag, 1, f.first, b.born FROM (SELECT DISTINCT space, seq, doc FROM s) r JOIN d USING (space, doc) JOIN f USING (space, tag) JOIN b USING (space, tag) WHERE d.since <= r.seq AND f.enough <= r.seq),
+o AS (SELECT *, row_number() OVER (PARTITION BY space, seq, doc, tag ORDER BY part) AS once FROM g), l AS (SELECT *, row_number() OVER (PARTITION BY space, seq ORDER BY part, first, k, tag) AS i FROM o WHERE once = 1),
+t AS (SELECT space, seq, string_agg(tag, '|' ORDER BY i) AS tags FROM l WHERE i <= 8 GROUP BY ALL)
+SELECT r.space, r.seq, r.doc, coalesce(tags, '') AS tags FROM (SELECT DISTINCT space, seq, doc FROM s) r LEFT JOIN t USING (space, seq)""")
+def tag_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that three registries give to documents in the order of events."""
+    e = table(spark, sf_dir, "events")
+    named = F.transform(F.array(F.concat(F.lit("tag "), (F.col("event_id") % 40).cast("string")), F.col("event_type")), tx.tag_slug)
+    docs = e.select(F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("space"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("doc"), named.alias("candidates"), F.array().cast("array<string>").alias("proposed"))
+    return registry.replay_tags(docs).select("space", "seq", "doc", F.array_join("tags", "|").alias("tags"))
 
 
 # State and storage ---------------------------------------------------------------------------------------------------
@@ -442,6 +526,251 @@ def image_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", ingest.scale((F.col("p_size") * 100).cast("double"), (F.col("p_partkey") % 4000 + 1).cast("double")).alias("scale"))
 
 
+# More text, pages and prompts -----------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, sha256(trim(regexp_replace(text, '[^a-zA-Z]+$', ' ' || chr(10)), ' ' || chr(10) || chr(9))) AS stripped_digest FROM documents""")
+def python_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.strip(F.regexp_replace("text", r"[^a-zA-Z]+\z", " \n")), 256).alias("stripped_digest"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem FROM pages""")
+def note_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.stem(F.col("url")).alias("stem"))
+
+
+@query(f"""WITH {_NOTES} SELECT doc_id, sha256(regexp_replace(text, '(?s)\\A---\\s*\n(.*?)\n---\\s*\n', '')) AS digest FROM notes""")
+def strip_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes_from_documents(spark, sf_dir).select("doc_id", F.sha2(md.without_frontmatter(F.col("text")), 256).alias("digest"))
+
+
+@query("""SELECT doc_id, sha256(array_to_string(list_transform(string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '>' ELSE '> ' || x END), chr(10))) AS digest FROM documents""")
+def quote_wrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.quoted_lines(F.col("text")), 256).alias("digest"))
+
+
+@query("""SELECT doc_id, length(array_to_string(string_split(text, chr(10)), chr(10) || chr(10))[1:1500]) AS n_combined,
+sha256(array_to_string(list_transform(string_split(text, chr(10))[1:2], lambda x: x[1:300]), chr(10) || chr(10))[1:600]) AS first_digest, sha256(array_to_string(string_split(text, chr(10)), chr(10) || chr(10))[1:1500]) AS combined_digest FROM documents""")
+def combined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand for chunks."""
+    parts = F.split("text", "\n", -1)
+    all_, first = tx.combined(parts), tx.first_chunks(parts)
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(all_).cast("bigint").alias("n_combined"), F.sha2(first, 256).alias("first_digest"), F.sha2(all_, 256).alias("combined_digest"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0 ELSE 2 END::INTEGER AS n_items FROM events""")
+def json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    pair = F.concat(F.lit("["), "props", F.lit(", "), "props", F.lit("]"))
+    answer = F.when(F.col("event_id") % 4 == 3, "no list").when(F.col("event_id") % 4 == 2, F.concat(F.lit("Here: "), pair, F.lit(" done"))).otherwise(F.concat(F.lit("```json\n"), pair, F.lit("\n```")))
+    return e.select("event_id", F.coalesce(F.size(F.from_json(tx.json_array(answer), "array<struct<k:int>>")), F.lit(0)).cast("int").alias("n_items"))
+
+
+@query("""SELECT event_id, event_id % 7 IN (0, 1, 2, 3, 4) AS for_good FROM events""")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ("429 GenerateRequestsPerDay", "Quota exceeded", "model NOT_FOUND", "404 page", "INVALID_ARGUMENT", "429 slow down", "500 server")
+    said = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", judge.failed_for_good(said).alias("for_good"))
+
+
+@query("""WITH a AS (SELECT conv_id, quantile_cont(CAST(turn * 7 - 20 AS DOUBLE), 0.5) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN abs(m) < 45 THEN m ELSE 0.0 END AS angle FROM a""")
+def median_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.col("turn") * F.lit(7.0) - 20).alias("angles"))
+    return c.select("conv_id", ingest.rotation(F.col("angles")).alias("angle"))
+
+
+@query("""WITH p AS (SELECT page_id, 'T' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN '04/03/26' END AS d, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Short.' END AS summary FROM pages),
+i AS (SELECT *, CASE WHEN d IS NULL THEN title ELSE '04-03-26 - ' || title END AS id FROM p)
+SELECT page_id, sha256('---' || chr(10) || 'id: ' || id || chr(10) || 'title: "' || title || '"' || chr(10) || 'date: 2024-01-02T03:04:05.000000' || CASE WHEN d IS NULL THEN '' ELSE chr(10) || 'written_date: "' || d || '"' END || chr(10) || 'tags: []' || chr(10)
+  || 'source_pages: ["[[' || id || ' - p1.png]]", "[[' || id || ' - p2.jpg]]"]' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || CASE WHEN summary = '' THEN '' ELSE '## 🧠 AI Summary' || chr(10) || chr(10) || summary || chr(10) END || chr(10) || '---' || chr(10) || chr(10) || '![[' || id || ' - p1.png]]' || chr(10) || '![[' || id || ' - p2.jpg]]' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || '## Entry' || chr(10) || chr(10) || '> one two' || chr(10) || '>' || chr(10) || '> ' || title || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '- **Word Count:** 3' || chr(10) || '- **Processing Date:** 2024-01-02 03:04:05' || chr(10)) AS digest FROM i""")
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole notes of journal pages from a vision model's answers."""
+    title = F.concat(F.lit("T"), F.col("page_id").cast("string"))
+    said = F.to_json(F.struct(F.concat(F.lit("one two\n \n"), title).alias("text"), F.when(F.col("page_id") % 3 == 0, "").otherwise("Short.").alias("summary"), F.when(F.col("page_id") % 2 == 0, "04/03/26").alias("written_date"), title.alias("title")))
+    answers = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.concat(F.lit("```json\n"), said, F.lit("\n```")).alias("answer"), F.array(F.lit("a.png"), F.lit("b.jpg")).alias("files"))
+    return ingest.pages(answers, F.to_timestamp(F.lit("2024-01-02 03:04:05"))).select(F.col("page").alias("page_id"), F.sha2("text", 256).alias("digest"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text[1:40] AS e FROM conversations)
+SELECT conv_id, sha256(string_agg('[' || i || '] t' || turn || ' / ' || role || ' (' || printf('%.3f', turn / 8.0) || ')' || chr(10) || e, chr(10) || chr(10) ORDER BY i)) AS block_digest, CASE WHEN conv_id % 2 = 0 THEN '(none)' ELSE 'x, y' END AS existing FROM c GROUP BY conv_id""")
+def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns stand for candidates."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("t"), F.col("turn").cast("string")).alias("title"), F.col("role").alias("heading"), F.substring("text", 1, 40).alias("excerpt"), (F.col("turn") / F.lit(8.0)).alias("sim"))
+    items = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "title", "heading", "excerpt", "sim"))).alias("t"))
+    numbered = F.transform("t", lambda x, i: F.struct(i.alias("candidate_id"), x["title"].alias("title"), x["heading"].alias("heading"), x["excerpt"].alias("excerpt"), x["sim"].alias("sim")))
+    known = F.when(F.col("conv_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"), F.lit("y")))
+    return items.select("conv_id", F.sha2(backlinks.candidate_block(numbered), 256).alias("block_digest"), backlinks.existing_block(known).alias("existing"))
+
+
+# More of chunks, tables and states --------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS "index", user_id || '__' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS chunk_id FROM events WHERE event_type <> 'view'""")
+def segment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are left stand for chunks that are left."""
+    e = table(spark, sf_dir, "events").filter("event_type <> 'view'").select(F.concat(F.lit("v/"), F.col("user_id").cast("string"), F.lit(".md")).alias("file_path"), "user_id", "event_id", F.col("event_id").alias("pos"))
+    return chunking.segment_ids(e).select("user_id", "event_id", "index", "chunk_id")
+
+
+@query("""SELECT d.doc_id AS file_path, l.doc_id IS NOT NULL AS indexed, (SELECT count(*) FROM labels) AS n_chunks, (SELECT count(DISTINCT doc_id) FROM labels) AS n_paths FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
+def store_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for stored chunks: which documents have any, and how many there are."""
+    chunks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_path"))
+    found = store.is_indexed(chunks, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path")))
+    n, paths = store.n_rows(chunks).first().n_chunks, store.indexed_paths(chunks).count()
+    return found.select("file_path", "indexed", F.lit(n).cast("bigint").alias("n_chunks"), F.lit(paths).cast("bigint").alias("n_paths"))
+
+
+@query("""SELECT doc_id AS file_path, 'vec' AS embedding, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags, coalesce(max(CASE WHEN quality = 1 THEN 'Q' END), '') AS entities FROM (SELECT doc_id, unnest([source, lang]) AS tag FROM documents) LEFT JOIN labels USING (doc_id) GROUP BY doc_id""")
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's tags and people on its chunks."""
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").alias("file_path"), F.lit("vec").alias("embedding"))
+    tagged = d.select(F.col("doc_id").alias("doc"), F.explode(F.array("source", "lang")).alias("tag"))
+    people = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("doc"), F.lit("Q").alias("entity"))
+    return registry.onto_chunks(chunks, tagged, people).select("file_path", "embedding", F.array_join("tags", "|").alias("tags"), F.array_join("entities", "|").alias("entities"))
+
+
+_TICKED = """st AS (SELECT d.doc_id AS file_path, CASE d.doc_id % 4 WHEN 0 THEN 'DIRTY' WHEN 1 THEN 'STABILIZING' WHEN 2 THEN 'INDEXED' ELSE 'READY_FOR_REASONING' END AS st, CAST(n_chars AS DOUBLE) AS edit, CASE WHEN quality = 1 THEN sha256(text) END AS ch,
+  CASE WHEN toxic = 1 THEN sha256(text) END AS rh, CASE WHEN d.doc_id % 7 = 0 THEN 1.0 END AS it, CASE WHEN d.doc_id % 5 = 0 THEN 2700.0 END AS rt, sha256(text) AS h, d.doc_id % 11 <> 0 AS present, length(text) // 500 AS chunks FROM documents d LEFT JOIN labels USING (doc_id))"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States and files as they might be in the middle of a day."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    i, h, nothing = F.col("doc_id"), F.sha2("text", 256), F.lit(None).cast("string")
+    state = F.when(i % 4 == 0, "DIRTY").when(i % 4 == 1, "STABILIZING").when(i % 4 == 2, "INDEXED").otherwise("READY_FOR_REASONING")
+    states = d.select(i.alias("file_path"), state.alias("current_state"), F.col("n_chars").cast("double").alias("last_edit_time"), F.when(i % 7 == 0, 1.0).alias("last_index_time"), F.when(i % 5 == 0, 2700.0).alias("last_reason_time"), F.when(F.col("quality") == 1, h).alias("content_hash"),
+                      F.when(F.col("toxic") == 1, h).alias("last_reasoned_hash"), nothing.alias("last_reasoned_body_hash"), nothing.alias("embedding_version"), nothing.alias("reasoning_version"))
+    files = table(spark, sf_dir, "documents").filter("doc_id % 11 <> 0").select(F.col("doc_id").alias("file_path"), h.alias("hash"), F.lit("").alias("body_hash"), F.floor(F.length("text") / 500).alias("n_chunks"))
+    return states, files
+
+
+@query(f"""WITH {_TICKED}, t AS (SELECT *, st = 'STABILIZING' OR (st = 'DIRTY' AND 3000 - edit >= 200) AS turn, h IS NOT DISTINCT FROM rh AS as_r, coalesce(h = ch AND it IS NOT NULL, false) AS as_i FROM st)
+SELECT file_path, CASE WHEN NOT turn THEN st WHEN as_r THEN 'REASONED' ELSE 'INDEXED' END AS current_state, CAST(CASE WHEN turn AND NOT as_r THEN 3000.0 ELSE it END AS DOUBLE) AS last_index_time, CASE WHEN turn AND NOT as_r THEN h ELSE ch END AS content_hash,
+  CASE WHEN turn AND NOT as_r AND NOT as_i AND chunks > 0 THEN 'v1' END AS embedding_version FROM t WHERE NOT (turn AND NOT present)""")
+def mark_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States after an index pass: hashes and times are committed, with or without new vectors."""
+    states, files = _states(spark, sf_dir)
+    now = F.lit(3000.0)
+    done = lifecycle.indexed(states, lifecycle.index_tick(states, files, now), files, now, "v1")
+    return done.select("file_path", "current_state", "last_index_time", "content_hash", "embedding_version")
+
+
+@query(f"""WITH {_TICKED}, c AS (SELECT file_path FROM st WHERE st = 'INDEXED' AND 3000 - coalesce(rt, 0) >= 600 ORDER BY file_path LIMIT 16) SELECT file_path, CASE WHEN file_path IN (SELECT file_path FROM c) THEN 'READY_FOR_REASONING' ELSE st END AS current_state FROM st""")
+def mark_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states, _ = _states(spark, sf_dir)
+    return lifecycle.made_ready(states, lifecycle.reason_tick(states, F.lit(3000.0))).select("file_path", "current_state")
+
+
+@query(f"""WITH {_TICKED} SELECT file_path, CASE WHEN st <> 'READY_FOR_REASONING' THEN st WHEN file_path % 3 = 0 THEN 'INDEXED' WHEN edit > 1000 THEN 'DIRTY' ELSE 'REASONED' END AS current_state, CAST(CASE WHEN st = 'READY_FOR_REASONING' AND file_path % 3 <> 0 THEN 3100.0 ELSE rt END AS DOUBLE) AS last_reason_time,
+  CASE WHEN st = 'READY_FOR_REASONING' AND file_path % 3 <> 0 THEN 'h' || file_path ELSE rh END AS last_reasoned_hash, CASE WHEN st = 'READY_FOR_REASONING' AND file_path % 3 <> 0 THEN 'b' || file_path END AS last_reasoned_body_hash FROM st""")
+def mark_reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States after reasoning: back to INDEXED on failure, DIRTY if edited meanwhile, else REASONED with both hashes."""
+    states, _ = _states(spark, sf_dir)
+    i = F.col("file_path").cast("string")
+    outcomes = states.select("file_path", (F.col("file_path") % 3 != 0).alias("ok"), F.lit(1000.0).alias("started_at"), F.lit(3100.0).alias("finished_at"), F.concat(F.lit("h"), i).alias("hash"), F.concat(F.lit("b"), i).alias("body_hash"))
+    return lifecycle.after_reasoning(states, outcomes).select("file_path", "current_state", "last_reason_time", "last_reasoned_hash", "last_reasoned_body_hash")
+
+
+@query(f"""WITH {_TICKED}, e AS (SELECT event_id % 2000 AS file_path, max(epoch_us(ts)) / 1e6 AS ts FROM events GROUP BY 1)
+SELECT coalesce(st.file_path, e.file_path) AS file_path, CASE WHEN e.ts IS NOT NULL AND coalesce(st, 'NEW') <> 'READY_FOR_REASONING' THEN 'DIRTY' ELSE st END AS current_state, CASE WHEN e.ts IS NOT NULL THEN greatest(e.ts, edit) ELSE edit END AS last_edit_time FROM st FULL JOIN e ON st.file_path = e.file_path""")
+def mark_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits register new notes and make known ones DIRTY."""
+    states, _ = _states(spark, sf_dir)
+    edits = table(spark, sf_dir, "events").select((F.col("event_id") % 2000).alias("file_path"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return lifecycle.edited(states, edits).select("file_path", "current_state", "last_edit_time")
+
+
+@query(f"""WITH {_TICKED} SELECT file_path, st AS current_state, 'one' AS asked FROM st WHERE file_path IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT file_path, st, 'state' FROM st WHERE st IN ('DIRTY', 'INDEXED') UNION ALL SELECT file_path, st, 'all' FROM st""")
+def state_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states, _ = _states(spark, sf_dir)
+    asked = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_path"))
+    parts = lifecycle.state_of(states, asked), lifecycle.in_state(states, "DIRTY", "INDEXED"), lifecycle.in_state(states)
+    return registry.union_all(*[p.select("file_path", "current_state", F.lit(name).alias("asked")) for p, name in zip(parts, ("one", "state", "all"), strict=True)])
+
+
+@query(f"""WITH {_TICKED}, a(action, wanted) AS (VALUES ('register_metadata', 'NEW'), ('update_timestamps', 'DIRTY'), ('compute_content_hash', 'STABILIZING'), ('embed', 'INDEXED'), ('markdown_mutation', 'READY_FOR_REASONING'))
+SELECT file_path, action, st = wanted AS ok FROM st, a""")
+def allowed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states, _ = _states(spark, sf_dir)
+    actions = F.array(*map(F.lit, ("register_metadata", "update_timestamps", "compute_content_hash", "embed", "markdown_mutation")))
+    each = states.select("file_path", "current_state", F.explode(actions).alias("action"))
+    return each.select("file_path", "action", lifecycle.allowed(F.col("current_state"), F.col("action")).alias("ok"))
+
+
+@query("""WITH e AS (SELECT 'p' || user_id AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'click' THEN 'moved' ELSE 'modified' END AS t, 'q' || user_id AS dest, 'h' || (event_id % 5) AS hash FROM events),
+x AS (SELECT path, t AS event_type, hash FROM e WHERE t <> 'moved' UNION ALL SELECT path, 'deleted', hash FROM e WHERE t = 'moved' UNION ALL SELECT dest, 'created', hash FROM e WHERE t = 'moved')
+SELECT path, event_type, count(*) AS n FROM x WHERE NOT (hash = 'h0' AND path IN ('p1', 'p2', 'q3')) GROUP BY ALL""")
+def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves are a deletion and a creation; our own writes are left out."""
+    e, u = table(spark, sf_dir, "events"), F.col("user_id").cast("string")
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "click", "moved").otherwise("modified")
+    events = e.select(F.concat(F.lit("p"), u).alias("path"), kind.alias("event_type"), F.col("ts"), F.concat(F.lit("q"), u).alias("dest"), F.concat(F.lit("h"), (F.col("event_id") % 5).cast("string")).alias("hash"))
+    own = spark.createDataFrame([("p1", "h0"), ("p2", "h0"), ("q3", "h0")], "path string, hash string")
+    return lifecycle.file_events(events, own).groupBy("path", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_GONE = """g AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"""
+
+
+@query(f"""WITH {_GONE} SELECT 'chunks' AS part, CAST(doc_id AS VARCHAR) AS key, count(*) AS n FROM conversations c JOIN (SELECT doc_id FROM documents) d ON c.conv_id = d.doc_id WHERE doc_id NOT IN (FROM g) GROUP BY doc_id
+UNION ALL SELECT 'states', CAST(doc_id AS VARCHAR), 1 FROM documents WHERE doc_id NOT IN (FROM g)
+UNION ALL SELECT 'tagged', source, count(*) FILTER (doc_id NOT IN (FROM g)) FROM documents GROUP BY source
+UNION ALL SELECT 'people', lang, count(*) FILTER (doc_id NOT IN (FROM g)) FROM documents GROUP BY lang
+UNION ALL SELECT 'log', CAST(g.doc_id AS VARCHAR), count(c.conv_id) FROM g LEFT JOIN (SELECT conv_id FROM conversations JOIN documents ON conv_id = doc_id) c ON c.conv_id = g.doc_id GROUP BY g.doc_id""")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that are gone leave chunks, states, tags and people; a turn of a conversation stands for a chunk."""
+    d = table(spark, sf_dir, "documents").withColumn("file_path", F.col("doc_id").cast("string"))
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("file_path"), "turn").join(d.select("file_path"), "file_path", "left_semi")
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("file_path"))
+    named = lambda c, name: d.select(F.col(c).alias(name), F.col("file_path").alias("doc"))
+    after = engine.cascade(gone, chunks=chunks, states=d.select("file_path"), tagged=named("source", "tag"), people=named("lang", "entity"))
+    count = lambda df, part, key: df.groupBy(F.lit(part).alias("part"), F.col(key).alias("key")).agg(F.count(F.col("doc") if "doc" in df.columns else F.lit(1)).alias("n"))
+    log = after["log"].select(F.lit("log").alias("part"), F.col("file").alias("key"), F.from_json("detail", "n_deleted bigint")["n_deleted"].alias("n"))
+    return registry.union_all(count(after["chunks"], "chunks", "file_path"), count(after["states"], "states", "file_path"), count(after["tagged"], "tagged", "tag"), count(after["people"], "people", "entity"), log)
+
+
+@query(f"""WITH {_PAIRS}, h AS (SELECT v, s FROM pairs WHERE q = 7 ORDER BY s DESC, v LIMIT 10)
+SELECT CAST(row_number() OVER (ORDER BY s DESC, v) AS INTEGER) AS rank, v || '.md' AS file, printf('%.3f', s) AS similarity, 'L' || (v % 10) AS heading, CASE WHEN v % 2 = 0 THEN '—' ELSE 'a, b' END AS tags, '—' AS entities, 'one two ' || v AS excerpt FROM h""")
+def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of the best hits of one vector."""
+    i = F.col("vec_id").cast("string")
+    none = F.array().cast("array<string>")
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.filter("vec_id = 7").first()
+    rows = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.concat(F.lit("v/"), i, F.lit(".md")).alias("file_path"), F.concat(F.lit("L"), (F.col("vec_id") % 10).cast("string")).alias("heading"), F.concat(F.lit("one\ntwo "), i).alias("text"),
+                    F.when(F.col("vec_id") % 2 == 0, none).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("tags"), none.alias("entities"), "label")
+    top = vectors.search(F.array(*[F.lit(float(x)) for x in asked.embedding]), rows, 10, exclude=F.col("label") != asked.label)
+    return engine.search_rows(top.withColumn("rank", F.row_number().over(vectors.by_similarity())))
+
+
+@query(_debounce_sql(200).replace("key, session::BIGINT AS session, min", "key, min"))
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The debounce of :func:`debounce` as a stream with a timer for each key, run over what is there.
+
+    A session closes once time has passed it by, so an edit long after all others, of a key of its own, closes the last ones.
+    """
+    base = shared_dir(spark, "stream-debounce")
+    e = _edits(spark, sf_dir)
+    far = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(-1).cast("bigint").alias("key"), (F.unix_micros("ts") / 1e6).alias("ts_s"), "ts")
+    e.select("key", "ts_s", "ts").repartition(1).write.parquet(f"{base}/in/a")
+    for name in ("b", "c"):  # the watermark moves after a batch, and timers fire in the next
+        far.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {ord(name)} DAY")).write.parquet(f"{base}/in/{name}")
+    stream = spark.readStream.schema(e.select("key", "ts_s", "ts").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{base}/in")
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = edits.debounced(stream, DEFAULT.stabilise_s, late="40 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    return spark.read.schema(edits.OUT).parquet(f"{base}/out").filter("key >= 0")
+
+
 # Whole pipelines: rows only ------------------------------------------------------------------------------------------
 
 
@@ -453,8 +782,8 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best three of all notes' chunks for each turn of each conversation."""
-    chunks = vectors.embed(chunking.chunk_notes(notes_from_documents(spark, sf_dir)))
-    asked = vectors.embed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), prefix="")
+    chunks = materialise(vectors.embed_passages(chunking.chunk_notes(notes_from_documents(spark, sf_dir))), "search-chunks")
+    asked = materialise(vectors.embed_questions(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), "search-questions")
     q = asked.select(F.xxhash64("conv_id", "turn").alias("id"), F.lit(-1).alias("grp"), F.col("embedding").alias("vec"))
     c = chunks.select(F.xxhash64("file_path", "index").alias("id"), F.lit(0).alias("grp"), F.col("embedding").alias("vec"))
     return vectors.knn(q, c, 3).select("query_id", "rank", F.round("similarity", 4).alias("similarity"))
@@ -462,14 +791,22 @@ def embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, embeddings, candidates, the stub judge's verdicts, and each note's new links."""
-    chunks = vectors.embed(chunking.chunk_notes(notes_from_documents(spark, sf_dir)))
-    v = chunks.select(F.xxhash64("file_path", "index").alias("id"), F.xxhash64("file_path").alias("grp"), F.col("embedding").alias("vec"))
-    hits = vectors.knn(v, v, DEFAULT.top_k, threshold=DEFAULT.threshold)
-    h = hits.select(F.col("query_grp").alias("src"), F.col("grp").alias("target"), F.col("query_id").alias("chunk"), "rank", F.col("similarity").alias("sim"))
-    best = backlinks.best_hits(h).join(backlinks.numbered(h), ["src", "target"])
-    titles = chunks.select(F.xxhash64("file_path").alias("target"), tx.stem(F.col("file_path")).alias("title"), F.col("heading"), tx.excerpt(F.col("text"), 300).alias("excerpt"), "index").filter("index = 0").drop("index")
-    cand = best.join(titles, "target")
-    notes = titles.select(F.col("target").alias("src"), "excerpt", F.array().cast("array<string>").alias("titles"))
-    answers = judge.call(backlinks.prompts(cand, notes))
-    return backlinks.decided(cand.select("src", "candidate_id", "title", F.round("sim", 4).alias("sim")), judge.verdicts(answers)).select("src", "title", "sim", "reason")
+    """Chunks, embeddings, candidates that aren't linked yet, the stub judge's verdicts, and each note's new links."""
+    notes = notes_from_documents(spark, sf_dir)
+    chunks = materialise(vectors.embed_passages(chunking.chunk_notes(notes)), "link-chunks")
+    links = notes.select(F.col("file_path").alias("src"), F.explode(md.linked_titles(F.col("text"))).alias("title"))
+    cand = materialise(engine.link_candidates(chunks, chunks, links), "link-candidates")
+    parts = chunks.groupBy(F.col("file_path").alias("src")).agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"]).alias("parts"))
+    heads = parts.join(notes.select(F.col("file_path").alias("src"), md.linked_titles(F.col("text")).alias("titles")), "src").select("src", tx.first_chunks(F.col("parts")).alias("excerpt"), "titles")
+    answers = judge.call(backlinks.prompts(cand, heads))
+    return backlinks.decided(cand.select("src", "candidate_id", "title", F.round("sim", 4).alias("sim")), judge.verdicts(answers)).select(F.xxhash64("src").alias("src"), "title", "sim", "reason")
+
+
+@query()
+def reason_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags, people and links of all notes, and their new texts, as the engine's reasoning pass makes them with the stub models."""
+    notes = materialise(notes_from_documents(spark, sf_dir).select("file_path", "text"), "reason-notes")
+    corpus = materialise(vectors.embed_passages(chunking.chunk_notes(notes)), "reason-corpus")
+    tagged = spark.createDataFrame([], "tag string, doc string")
+    ran = engine.reason_run(notes, corpus, tagged, spark.createDataFrame([], "alias string, canonical string, seq bigint"))
+    return ran["texts"].select("file_path", "ok", F.sha2("text", 256).alias("digest"))
