@@ -78,14 +78,21 @@ def test_token_files_round_trip(spark, odd, none):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    got = dac.roundtrip(odd, path, materialise).orderBy("start").collect()
+    got = dac.roundtrip(odd, path).orderBy("start").collect()
     want, start = [], 0
     for i, text, _ in sorted(odd_texts(), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
-    assert dac.roundtrip(none, path, materialise).count() == 0
+    assert dac.roundtrip(none, path).count() == 0
+
+
+def test_ranges_part_repeated_ids(spark):
+    rows = spark.createDataFrame([(7 if i % 3 else None if i % 2 else i, i * 7919 * (1 << 40) % (1 << 63) * (-1) ** i, "<u2", bytes([i % 256, 0])) for i in range(3000)], "doc_id bigint, tie bigint, kind string, ids binary")
+    parts = [[(r.doc_id, r.tie) for r in p] for p in dac.ranged(rows, rows, 12).rdd.glom().collect()]
+    flat = [(d is not None, d or 0, t) for p in parts for d, t in p]
+    assert flat == sorted(flat) and len(flat) == 3000 and max(map(len, parts)) < 700
 
 
 def test_codes_are_addressable():
@@ -103,7 +110,7 @@ def test_encoder_splits_as_the_library_does():
     e, rng = dac.encoder(P.path("word_bpe_49k.json")), random.Random(3)
     texts = ["".join(rng.choice("abcdeéèßñ 01 \n\t\x1c\x85  　​😀'sstT中ÀΣσ̸") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
     for t, x in zip(texts, e.encode(texts), strict=True):
-        assert np.frombuffer(x, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(x, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 # 3
@@ -195,6 +202,29 @@ def test_secret_spans(spark, none):
     assert both.filter("doc_id = 0").select(secrets.redact(F.col("text"), F.col("f"), "#")).first()[0] == "p#sword: token:abcdef"
 
 
+def test_owners_not_copies_make_an_example(spark):
+    key = "Qx7" * 12
+    d = docs_of(spark, [(i, f"{key} row {i % 10}", "a") for i in range(40)] + [(50, "Rx7" * 12, "a"), (51, "Rx7" * 12, "b")])
+    found = secrets.judged(materialise(secrets.scan(d), "t")).collect()
+    assert len(found) == 40 and {(x.kind, x.n_repositories, x.n_owners, x.live) for r in found for x in r.found} == {(3, 10, 1, True)}
+
+
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["password=", "token: ", "é ", ""]) + f"{rng.getrandbits(128):032x}" for _ in range(4000))
+    scanned = materialise(secrets.scan(docs_of(spark, [(1, text, "a")])), "t")
+    row = secrets.judged(scanned).first()
+    base = [(x.start, x.kind, x.end) for x in row.found if x.kind < 3]
+    assert base == brute_secrets(text) and len(base) > 4000
+    clean = scanned.join(secrets.judged(scanned).select("row", F.col("found").alias("f")), "row").select(secrets.redact(F.lit(text), F.col("f"), "#")).first()[0]
+    want, at = [], 0
+    for s, _, e in sorted((x.start, x.kind, x.end) for x in row.found):
+        if s >= at:
+            want += [text[at:s], "#"]
+        at = max(at, e)
+    assert clean == "".join(want) + text[at:]
+
+
 # 6
 
 
@@ -324,6 +354,34 @@ def test_small_windows_still_recall(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_equal_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(11)
+    kinds = rng.standard_normal((40, 64)).astype(np.float32)
+    rows = [(int(i), kinds[rng.integers(0, 40) if i % 3 else 7].tolist()) for i in rng.permutation(1500)]
+    got = hilbert.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), least=2000).collect()
+    exact = np.array([[sum(float(a) * float(b) for a, b in zip(x, y, strict=True)) for y in kinds] for x in kinds])
+    of = {i: int(np.flatnonzero((kinds == np.array(v, np.float32)).all(1))[0]) for i, v in rows}
+    for q in range(0, 1500, 20):
+        want = sorted(((-exact[of[q], of[i]], i) for i in of if i != q))[:20]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(k, i) for k, i, _ in own] == [(k, i) for k, (_, i) in enumerate(want, 1)]
+        assert np.allclose([s for _, _, s in own], [-s for s, _ in want], rtol=1e-12)
+
+
+def test_windows_are_small_on_clustered_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((200, 16))[rng.integers(0, 200, 8000)] + 0.05 * rng.standard_normal((8000, 16))
+    nodes = spark.createDataFrame([(i, r.tolist(), i % 20 == 0) for i, r in enumerate(x)], "node bigint, embedding array<double>, asked boolean")
+    shape = hilbert.Curves(x, float(np.sqrt((x**2).sum(1).max())), 16, 8, 5)
+    places = materialise(hilbert.placed(hilbert.ordered(nodes, shape, 16)), "places")
+    q = np.arange(0, 8000, 400)
+    truth = materialise(hilbert.exact(nodes, x[q], q, 20, 16), "truth")
+    window = hilbert.calibrated(places, truth, 0.97, 20)
+    assert 2 * window < 800
+    pairs = {(r.query, r.node) for r in hilbert.candidates(places, window, 21, 16, 512).collect()}
+    assert sum((r.query, r.node) in pairs for r in truth.collect()) >= 0.95 * 20 * len(q)
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     cells = np.array([(i, j) for i in range(side) for j in range(side)])
@@ -342,6 +400,48 @@ def test_quality_on_held_out_rows(spark):
     assert got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
+def test_equal_rows_are_drawn_once(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([(1, texts[0])] * 400 + [(i, t) for i, t in enumerate(texts, 2)] + [(None, texts[1])] * 30, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id bigint, quality int")
+    got = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda xp, xu, every: got.append((len(xp), len(xu))) or fit(xp, xu, every)
+        model = quality.learn(docs, labels, sample=25)
+    finally:
+        quality.fit = fit
+    assert 0 < got[0][0] <= 25 and 0 < got[0][1] <= 25 and quality.score(docs, model).count() == docs.count()
+
+
+def test_prior_and_weights_come_from_all_rows(spark):
+    """Counts and averages over tasks, against the same in one place."""
+    texts = [f"row {i} {'good words here' if i % 3 else 'x ' * (i % 7)}" for i in range(700)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    import pyarrow as pa
+
+    x = quality.features(pa.array(texts))
+    mean, scale = quality.scaled(x, x)
+    z = ((x - mean) / scale).astype(np.float32)
+    w = np.random.default_rng(1).standard_normal(quality.WIDTH + 1)
+    scores = quality.with_bias((x - mean) / scale) @ w
+    cuts = np.quantile(scores, quality.QUANTILES)
+    cuts += 1e-9
+    above, n = quality.counted_above(df, mean, scale, w, cuts)
+    assert n == 700 and np.abs(above - (scores[:, None] >= cuts[None]).sum(0)).max() <= 1
+    parts = [np.array([r.text for r in rows]) for rows in df.rdd.glom().collect()]
+    want, total = np.zeros(quality.WIDTH + 1), 0
+    for part in parts:
+        zp = ((quality.features(pa.array(part.tolist())) - mean) / scale).astype(np.float32)
+        run = quality.Descent(quality.with_bias(z[:50].astype(np.float16).astype(np.float32)), 0.4, 0.0005, 3e-3, 0, w, batch=100)
+        for i in range(0, len(zp) - 99, 100):
+            run.step(quality.with_bias(zp[i : i + 100]))
+        want, total = want + run.weights * len(zp), total + len(zp)
+    assert np.allclose(quality.onwards(df, mean, scale, w, z[:50], 0.4, batch=100), want / total, atol=1e-6)
+
+
 def test_quality_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, 0), (6, 1, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.score(odd, quality.learn(odd, labels)).collect()
@@ -363,6 +463,53 @@ def test_language_on_held_out_rows(spark):
     assert (got.lang == got.lang_pred).mean() >= 0.97
 
 
+def brute_language(train, texts, words, grams, longest=5):
+    """Counts and scores as the docstring says, without Spark, numpy or memos."""
+    import math
+
+    langs = sorted({lang for _, lang in train if lang})
+    tables = [Counter() for _ in range(longest + 1)]
+    for text, lang in train:
+        for w in langid.words_of(text or "") if lang else []:
+            tables[0][lang, w] += 1
+            for n in range(1, longest + 1):
+                marked = f"<{w}>"
+                tables[n].update((lang, marked[i : i + n]) for i in range(len(marked) - n + 1))
+    model = []
+    for n, t in enumerate(tables):
+        kept = set()
+        for lang in langs:
+            own = Counter({k: c for (a, k), c in t.items() if a == lang})
+            cut = min((c for c in own.values() if sum(x >= c for x in own.values()) <= (words if n == 0 else grams)), default=None)
+            kept |= {k for k, c in own.items() if cut is not None and c >= cut}
+        mass = {a: max(1, sum(c for (b, k), c in t.items() if b == a and (n == 0 or k in kept))) for a in langs}
+        model.append({k: [math.log((t[a, k] or 0.5) / mass[a]) for a in langs] for k in kept})
+    out = []
+    for text in texts:
+        rows = []
+        for w in langid.words_of(text or ""):
+            row = model[0].get(w)
+            for n in range(longest, 0, -1):
+                if row is None and (known := [model[n][g] for g in langid.grams_of(w, n) if g in model[n]]):
+                    row = [sum(x) / len(known) for x in zip(*known, strict=True)]
+            rows.append(row or [0.0] * len(langs))
+        total = [sum(x) / len(rows) for x in zip(*rows, strict=True)] if rows else []
+        best = max(range(len(langs)), key=lambda i: (total[i], -i)) if rows else None
+        out.append((langs[best], 1 / sum(math.exp(x - total[best]) for x in total)) if rows else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("words", [30_000, 40])
+def test_language_against_brute_force(spark, sf, words):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    train, texts = [(r.text, r.lang) for r in rows[:40]], [r.text for r in rows[40:]]
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string"), words=words, grams=2 * words)
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    want = brute_language(train, texts, words, 2 * words)
+    assert [r.lang_pred for r in got] == [lang for lang, _ in want]
+    assert np.allclose([r.score for r in got], [x for _, x in want], atol=1e-9)
+
+
 def test_language_on_odd_rows(spark, odd, none):
     train = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "x", None), (4, None, "fr")], "doc_id bigint, text string, lang string")
     m = langid.learn(train)
@@ -381,7 +528,7 @@ def test_surrogates(spark, none):
         (1, "Mail Jane.Doe@corp.example.com or +1 (743) 555-3824, card 4111 1111 1111 1111."), (2, "jane.doe@corp.example.com and 4111111111111111 and 10.1.2.3 and +17435553824"), (3, None), (4, ""), (5, "clean text 1234567890123456 v1.2.3 100-200"),
         (6, "Mrs Smith met Mr. Brown; Frau Müller, Госпожа Иванова"), (7, "Mrs Smith, ssn 123-45-6789, DE89 3704 0044 0532 0130 00"), (7, "Mrs Smith, ssn 123-45-6789, DE89 3704 0044 0532 0130 00"),
     ]
-    got = pii.replace(docs_of(spark, [(i, t, "s") for i, t in texts])).collect()
+    got = pii.replace(docs_of(spark, [(i, t, "s") for i, t in texts]), key=b"k").collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(texts) and by[3].text is None and by[4].text == "" and by[5].text == texts[4][1]
     assert (by[1].n_email, by[1].n_phone, by[1].n_card, by[2].n_ip, by[6].n_name, by[7].n_ssn, by[7].n_iban) == (1, 1, 1, 1, 4, 1, 1)
@@ -395,12 +542,48 @@ def test_surrogates(spark, none):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", by[1].text)
     assert re.search(r"Mrs (\w+)", by[6].text)[1] == re.search(r"Mrs (\w+)", by[7].text)[1]
     assert re.search(r"Госпожа [А-Яа-я]+$", by[6].text)
-    assert pii.replace(none).count() == 0
+    assert pii.replace(none, key=b"k").count() == 0
     many = spark.createDataFrame([("ip", f"10.0.{i // 250}.{i % 250}") for i in range(3000)] + [("ssn", f"{100 + i:03d}121234") for i in range(400)], "kind string, value string")
     s = pii.surrogates(many, b"k").collect()
     assert len({(r.kind, r.surrogate) for r in s}) == 3400
 
 
+def brute_surrogates(texts, key):
+    """One text after the other, one entity after the other, in one process."""
+    found = {i: pii.detect(t or "") for i, t in texts}
+    pending = sorted({(k, v) for f in found.values() for _, _, k, v in f})
+    real, chosen, attempt = set(pending), {}, 0
+    while pending:
+        won = {}
+        for k, v in pending:
+            drawn = (k, pii.drawn(key, k, v, attempt))
+            if drawn not in real and drawn not in {(a, s) for (a, _), s in chosen.items()}:
+                won.setdefault(drawn, (k, v))
+        chosen |= {entity: s for (_, s), entity in won.items()}
+        pending, attempt = [e for e in pending if e not in chosen], attempt + 1
+    out = {}
+    for i, t in texts:
+        for a, z, k, v in reversed(found[i]):
+            t = t[:a] + pii.written(k, t[a:z], chosen[k, v]) + t[z:]
+        out[i] = t
+    return out
+
+
+def test_surrogates_against_brute_force(spark, sf):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    crowd = [f"{c}@x.example" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]  # so many that draws collide
+    texts += [(-1, ", ".join(crowd) + " and " + "Mr Chan (20) 555-0101 " * 50_000), (-2, None), (-3, ", ".join(f"Ms {c}en" for c in "ABCDEFGHIJ"))]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(texts, "doc_id bigint, text string"), key=b"other").collect()}
+    assert got == brute_surrogates(texts, b"other") and sum(got[i] != t for i, t in texts) > 5
+
+
+def test_surrogates_outgrow_a_shape():
+    for kind, value in (("phone", "5550101"), ("ssn", "123121234"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("ip", "10.1.2.3")):
+        late = pii.drawn(b"k", kind, value, 12)
+        assert kind == "ip" or len(late) == len(value) + 5
+        assert pii.written(kind, value, late).endswith(late[-4:]) and (kind != "card" or pii.luhn(late)) and (kind != "iban" or pii.mod97(late) == 1)
+
+
 def test_surrogates_of_many_names_and_short_addresses(spark):
     many = [("name", f"m:smith{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}") for i in range(6000)]
     many += [("email", f"{c}@hot.example.com") for c in "abcdefghijklmnopqrstuvwxyz0123456789_"] + [("email", f"{i}@hot.example.com") for i in range(10, 1000)]
@@ -413,7 +596,7 @@ def test_surrogates_in_other_digits(spark):
     to = lambda zero, text: text.translate({48 + i: zero + i for i in range(10)})
     arabic, deva = 0x660, 0x966
     texts = [(1, to(arabic, "call +17435553824 now")), (2, to(deva, "ssn 123-45-6789, id ") + "7"), (3, to(deva, "ssn 223-45-6789")), (4, "call +17435553824 or 123-45-6789"), (5, to(arabic, "at 10.1.2.3 or 4111 1111 1111 1111")), (6, "\U0001E4F1\U0001E4F2\U0001E4F3-\U0001E4F4\U0001E4F5-\U0001E4F6\U0001E4F7\U0001E4F8\U0001E4F9")]
-    by = {r.doc_id: r for r in pii.replace(docs_of(spark, [(i, t, "s") for i, t in texts])).collect()}
+    by = {r.doc_id: r for r in pii.replace(docs_of(spark, [(i, t, "s") for i, t in texts]), key=b"k").collect()}
     assert [(by[i].n_phone, by[i].n_ssn, by[i].n_ip, by[i].n_card) for i in range(1, 7)] == [(1, 0, 0, 0), (0, 1, 0, 0), (0, 1, 0, 0), (1, 1, 0, 0), (0, 0, 1, 1), (0, 1, 0, 0)]
     assert all(by[i].text != t for i, t in texts)
     assert re.fullmatch("call \\+[\u0660-\u0669]{11} now", by[1].text) and re.fullmatch("ssn [\u0966-\u096f]{3}-[\u0966-\u096f]{2}-[\u0966-\u096f]{4}, id [\u0966-\u096f]*7", by[2].text)
@@ -449,6 +632,35 @@ def test_warc_round_trip(spark):
     index = warc.index(runs, ranges=3).orderBy("part", "place").collect()
     keys = [(r.url_key, r.timestamp) for r in index]
     assert runs.count() > 5 and len(index) == len(rows) and keys == sorted(keys)
+    passes = warc.index(runs, ranges=2, fan_in=2).orderBy("part", "place").collect()
+    assert [(r.url_key, r.timestamp, r.page_id, r.file, r.offset) for r in passes] == [(r.url_key, r.timestamp, r.page_id, r.file, r.offset) for r in index]
+    ids, named = set(), set()
+    for r in index:  # every revisit names a record that exists
+        fields = warc.parse(warc.get(r.file)[r.offset : r.offset + r.length])
+        ids.add(fields["WARC-Record-ID"])
+        named |= {fields["WARC-Refers-To"]} if fields["WARC-Type"] == "revisit" else set()
+    assert named and named <= ids
+
+
+def test_merges_open_few_files(spark, monkeypatch):
+    rows = [(f"k{i:02d}", f"{j:014d}", i, j, 1, "f") for j in range(9) for i in range(5)]
+    base = warc.shared_dir(spark, "t")
+    for j in range(9):
+        warc.put(f"{base}/{j}.cdx", warc.run_bytes(rows[5 * j : 5 * j + 5]))
+    tasks = spark.createDataFrame([(0, None, None, [f"{base}/{j}.cdx" for j in range(9)])], "part int, low string, high string, runs array<string>")
+    once = warc.fewer(tasks, 3, base)
+    twice = warc.fewer(once, 3, base).collect()
+    assert [len(r.runs) for r in once.collect()] == [3] and [len(r.runs) for r in twice] == [1]
+    assert list(warc.lines_of(twice[0].runs[0], None, None)) == sorted(rows)
+    assert [x[0] for x in warc.lines_of(twice[0].runs[0], "k01", "k03")] == ["k01"] * 9 + ["k02"] * 9
+
+
+def test_warc_of_odd_pages(spark):
+    big, huge = "y" * 1500, "z" * 3_000_000
+    rows = [(None, None, big), (5, "http://a.example/", big), (5, "http://a.example/", big), (7, "u", huge), (6, "u", huge), (None, "v", "")]
+    got = warc.roundtrip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    found = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=repr)
+    assert found == sorted([(None, 1500, "revisit", 5), (5, 1500, "response", None), (5, 1500, "response", None), (7, 3_000_000, "response", None), (6, 3_000_000, "revisit", 7), (None, 0, "response", None)], key=repr)
 
 
 def test_loser_tree():
