@@ -5,7 +5,7 @@ a bitmap beside it marks the chunks that go on in level k + 1; a rank directory
 512th bit.  Token i is read by taking its chunk in level 0 and, while the mark is set, going to place
 rank(i) of the next level: no block is decoded, whatever token is asked for.
 
-Each row is a document of its own: repeated doc_ids keep a row each, in the order of their texts; a null
+Each row is a document of its own: repeated doc_ids keep a row each, in an order that their ids fix; a null
 doc_id comes first; a null or empty text has no ids but the end id.  An empty table gives no files and an
 empty result.  A file holds at most ``tokens_per_file`` ids and one document more, so memory is bounded.
 """
@@ -17,7 +17,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import shared_dir, slices, strings
+from vellum.llm.common import materialise, release, shared_dir, slices, strings
 
 MAGIC = b"VDAC0001"
 BLOCK = 512
 # Unicode White_Space (fixed values).
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+#: How the library writes bytes that aren't printable Latin-1: from U+0100 on, in order.
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
 #: Marks that are one match together wherever they follow letters.
 TAIL = ".,;:!?%$#&*|()"
 
@@ -117,28 +120,25 @@ class Reader:
 
 
 class Encoder:
-    """Ids of texts from a ``tokenizers`` file whose matches never cross white space; ids of words are memoised."""
+    """Ids of texts from a ``tokenizers`` file whose matches never cross white space; ids of words are memoised, ``keep`` words at most and one batch more."""
 
-    def __init__(self, path: str, keep: int = 250_000, keep_cores: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.keep, self.keep_cores = keep, keep_cores
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.keep = keep
+        #: Ids go about in two bytes each where the vocabulary allows it.
+        self.kind = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text, as ``kind`` says."""
         # str.split also splits at four control characters that Unicode doesn't call white space
-        split = [SPACES.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        split = [SPACES.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in map(lowered, texts)]
         if len(self.words) > self.keep:
             self.words.clear()
-        if len(self.cores) > self.keep_cores:
-            self.cores.clear()
         self.learn(set().union(*split) - self.words.keys())
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
@@ -147,39 +147,42 @@ class Encoder:
         """Ids of words that aren't known yet.
 
         A run of Latin letters and the marks behind it are matches of their own, and lower-casing is what the library does first; so such words
-        share the ids of their letters.  Letters are encoded many words at once: every word's last id, and no other, ends a word.
+        share the ids of their letters, and their letters, byte by byte in its alphabet, go to the library's model at once.
         """
-        cores, whole = {}, []
+        words, tokens, behind, whole = self.words, self.tokenizer.model.tokenize, [], []
         for w in new:
             core = w.rstrip(TAIL)
-            if core.isalpha() and max(core) < "\u0100":
-                cores[w] = core.lower()
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                core = core.lower()
+                if core not in words:
+                    words[core] = array(self.code, [t.id for t in tokens(core if core.isascii() else core.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
+                if core != w:
+                    behind.append((w, core, w[len(core) :]))
             else:
                 whole.append(w)
-        fresh = list(set(cores.values()) - self.cores.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer doesn't mark the ends of words")
-            raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
-            for i, core in enumerate(part):
-                self.cores[core] = raw[bounds[i] : bounds[i + 1]]
-        for w, core in cores.items():
-            tail = w[len(core) :]
-            self.words[w] = self.cores[core] + (self.tail(tail) if tail else b"")
+        for w, core, tail in behind:
+            words[w] = words[core] + (self.tail(tail) if tail else b"")
         for at in range(0, len(whole), 4096):
             part = whole[at : at + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = array("I", e.ids).tobytes()
+                words[word] = array(self.code, e.ids).tobytes()
 
     def tail(self, marks: str) -> bytes:
         if marks not in self.words:
-            self.words[marks] = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+            self.words[marks] = array(self.code, self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
         return self.words[marks]
 
 
+def lowered(text: str) -> str:
+    """Texts of Latin-1 in small letters, as the library makes them; others are left to it."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -208,29 +211,59 @@ def put(uri: str, data: bytes) -> None:
 
 def get(uri: str) -> bytes:
     fs, path = store(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, tokens_per_file: int = 4_000_000) -> DataFrame:
-    """Encode whole texts and write them in ascending doc_id order; returns one row for each file.
+def encoded(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFrame:
+    """doc_id, tie, kind, ids (with the end id, as integers of that kind) of every text, in any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer_path)
+        end = np.array([end_id], enc.kind).tobytes()
+        for batch in slices(batches):
+            ids = [x + end for x in enc.encode(strings(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.kind] * len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "kind", "ids"])
+        release()
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, kind string, ids binary")
+    return rows.select("doc_id", F.xxhash64("ids").alias("tie"), "kind", "ids")
+
+
+def ranged(rows: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``rows`` (doc_id, tie, ...) in ``n`` partitions by ranges of doc_id, sorted within them.
+
+    The bounds come from the doc_ids of ``docs`` alone, so nothing is encoded twice.  A doc_id (or null) that fills several ranges is parted among them by tie.
+    """
+    at = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    found = docs.select(at.alias("at")).agg(F.percentile_approx("at", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    bounds = F.array(*[F.lit(b) for b in found or []]).cast("array<bigint>")
+    first = F.size(F.filter(bounds, lambda b: b < F.col("at")))
+    equal = F.size(F.filter(bounds, lambda b: b == F.col("at")))
+    share = F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * (equal + 1)).cast("int"), equal)
+    placed = rows.withColumn("at", at).withColumn("part", first + F.when(equal > 1, share).otherwise(0))
+    return placed.repartitionById(n, F.col("part").cast("int")).sortWithinPartitions("at", "tie", "ids").drop("at", "part")
+
+
+def write(rows: DataFrame, docs: DataFrame, path: str, *, tokens_per_file: int = 4_000_000) -> DataFrame:
+    """Write what :func:`encoded` gave for ``docs`` in ascending doc_id order; returns one row for each file.
 
-    Columns: part and seq (which order the files), file, n_docs, n_tokens.  Every attempt of a task writes files of its own
+    Ids take half the space of their texts, so they are what is dealt out.  Columns: part and seq (which order the files), file, n_docs, n_tokens.  Every attempt of a task writes files of its own
     name; those that a returned row names are complete.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, context, end = encoder(tokenizer_path), TaskContext.get(), struct.pack("<I", end_id)
+        context = TaskContext.get()
         part, seq = context.partitionId(), 0
         ids: list[bytes] = []
         docs_here: list[int | None] = []
-        held = 0
+        held, kind = 0, "<u4"
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            sizes = np.array([len(x) // np.dtype(kind).itemsize for x in ids], np.int64)
             name = f"{path}/tokens-{part:06d}-{seq:05d}-{context.taskAttemptId()}.dac"
-            put(name, dump(docs_here, sizes, np.frombuffer(b"".join(ids), "<u4")))
+            put(name, dump(docs_here, sizes, np.frombuffer(b"".join(ids), kind)))
             row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_docs": [len(sizes)], "n_tokens": [int(sizes.sum())]})
             ids.clear()
             docs_here.clear()
@@ -238,17 +271,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 1, t
             return row
 
         for batch in slices(batches):
-            for doc_id, own in zip(batch.column(0).to_pylist(), enc.encode(strings(batch.column(1))), strict=True):
-                ids.append(own + end)
+            kind = batch.column(1)[0].as_py()
+            for doc_id, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids.append(own)
                 docs_here.append(doc_id)
-                held += len(ids[-1]) // 4
+                held += len(own) // np.dtype(kind).itemsize
                 if held >= tokens_per_file:
                     yield flush()
         if ids:
             yield flush()
+        release()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "part bigint, seq bigint, file string, n_docs bigint, n_tokens bigint")
+    ordered = ranged(rows, docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return ordered.select("doc_id", "kind", "ids").mapInArrow(run, "part bigint, seq bigint, file string, n_docs bigint, n_tokens bigint")
 
 
 def documents(files: DataFrame) -> DataFrame:
@@ -277,7 +312,7 @@ def documents(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def roundtrip(docs: DataFrame, tokenizer_path: str, materialise: Callable[[DataFrame, str], DataFrame], *, end_id: int = 1) -> DataFrame:
+def roundtrip(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFrame:
     """Write all of ``docs`` to the shared folder and read the files back."""
-    files = write(docs, shared_dir(docs.sparkSession, "tokens"), tokenizer_path, end_id=end_id)
-    return documents(materialise(files, "token-files"))
+    rows = encoded(docs, tokenizer_path, end_id=end_id)
+    return documents(materialise(write(rows, docs, shared_dir(docs.sparkSession, "tokens")), "token-files"))
