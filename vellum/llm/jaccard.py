@@ -25,18 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import shingles as sh
-from vellum.llm.common import materialise, release, slices
+from vellum.llm.common import materialise, release, slices, small
 from vellum.llm.components import components
 
-#: With each posting go 48 bits of its shingle, beside those of its bucket.
-KEPT = np.uint64((1 << 48) - 1)
 #: Postings that a bucket holds at most, on average: a task needs about 60 bytes for each.
-PER_BUCKET = 4_000_000
+PER_BUCKET = 1_000_000
 
 
 def bucket_bits(n_postings: int) -> int:
-    """Upper bits by which shingles are dealt out: 7 to 16, by the size of the corpus."""
-    return min(16, max(7, (max(1, n_postings) // PER_BUCKET).bit_length()))
+    """Upper bits by which shingles are dealt out, by the size of the corpus."""
+    return min(24, max(4, (max(1, n_postings) // PER_BUCKET).bit_length()))
 
 
 def window(n: np.ndarray, percent: int) -> np.ndarray:
@@ -63,7 +61,7 @@ def packed(rows: dict[str, list], bucket: int, **columns: np.ndarray) -> None:
 
 
 def postings(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """Shingles by bucket: for each bucket and batch the nodes, their sizes, how many shingles of each follow, and those (6 bytes each)."""
+    """Shingles by bucket: for each bucket and batch the nodes, their sizes, how many shingles of each follow, and those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
@@ -75,16 +73,15 @@ def postings(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
                 continue
             ids, sizes = np.fromiter(nodes, np.int64, len(nodes)), np.array([len(x) for x in nodes.values()], np.int32)
             every, owner = np.concatenate(list(nodes.values())), np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-            bucket = (every >> np.uint64(64 - bits)).astype(np.uint16)
+            bucket = (every >> np.uint64(64 - bits)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-            low = (every[order] & KEPT).view(np.uint8).reshape(-1, 8)[:, :6]
-            owner = owner[order]
+            every, owner = every[order], owner[order]
             rows: dict[str, list] = {}
-            for i in range(1 << bits):
-                if (a := ends[i]) < (z := ends[i + 1]):
-                    own, counts = np.unique(owner[a:z], return_counts=True)
-                    packed(rows, i, nodes=ids[own], sizes=sizes[own], counts=counts.astype(np.uint32), low=np.ascontiguousarray(low[a:z]))
+            for i in np.flatnonzero(np.diff(ends)).tolist():
+                a, z = ends[i], ends[i + 1]
+                own, counts = np.unique(owner[a:z], return_counts=True)
+                packed(rows, i, nodes=ids[own], sizes=sizes[own], counts=counts.astype(np.uint32), low=every[a:z])
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in rows.items()})
             release()
 
@@ -118,12 +115,10 @@ def shared(dealt: DataFrame, parts: int) -> DataFrame:
     """Postings of the shingles that two nodes or more have, with that number, dealt out by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in runs_of(batches, "bucket"):
+        for _, rows in runs_of(batches, "bucket"):
             counts = column(rows, "counts", "<u4")
             node, size = np.repeat(column(rows, "nodes", "<i8"), counts), np.repeat(column(rows, "sizes", "<i4"), counts)
-            low = np.zeros((len(node), 8), np.uint8)
-            low[:, :6] = column(rows, "low", "u1").reshape(-1, 6)
-            low = low.view("<u8").ravel() | np.uint64(bucket) << np.uint64(48)  # 16 bits at most
+            low = column(rows, "low", "<u8")
             order = np.argsort(low, kind="stable")
             low, node, size = low[order], node[order], size[order]
             first = np.concatenate(([True], low[1:] != low[:-1]))
@@ -179,7 +174,7 @@ def unsettled(found: DataFrame, percent: int, parts: int) -> DataFrame:
 class Region:
     """Exact links among the sets of one block, up to what connectivity already tells."""
 
-    def __init__(self, nodes: list[int], sizes: list[int], sets: list[bytes], percent: int, small: int = 48, pivots: int = 8):
+    def __init__(self, nodes: list[int], sizes: list[int], sets: list[bytes], percent: int, small: int = 16, pivots: int = 8):
         self.nodes, self.n, self.percent, self.small, self.k = nodes, np.array(sizes, np.int64), percent, small, pivots
         self.r = 1 - percent / 100 + 1e-9
         counts = np.array([len(x) // 8 for x in sets], np.int64)
@@ -283,7 +278,7 @@ def divide(heavy: DataFrame, percent: int, level: int, k: int = 16) -> tuple[Dat
     r = 1 - percent / 100 + 1e-9
     rank = Window.partitionBy("block").orderBy("at", "node")
     chosen = heavy.withColumn("at", F.xxhash64("node", F.lit(level))).withColumn("i", F.row_number().over(rank)).filter(F.col("i") <= k)  # Spark keeps only the first k of each task
-    pivots = chosen.groupBy("block").agg(F.collect_list(F.struct("node", "n", "shingles")).alias("pivots"))
+    pivots = small(materialise(chosen.groupBy("block").agg(F.collect_list(F.struct("node", "n", "shingles")).alias("pivots")), "pivots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -317,7 +312,7 @@ def in_pairs(heavy: DataFrame, weight: DataFrame, most: int) -> DataFrame:
     return two.select(F.xxhash64("block", F.least("i", "j"), F.greatest("i", "j")).alias("block"), "node", "n", "shingles")
 
 
-def linked(nodes: DataFrame, percent: int, most: int = 2_000_000, levels: int = 3) -> DataFrame:
+def linked(nodes: DataFrame, percent: int, most: int = 200_000, levels: int = 3) -> DataFrame:
     """Links (a, b) of all unsettled nodes that connect what is connected by pairs of J >= percent / 100."""
     region = nodes.select("node", F.explode("pivots").alias("pivot"))
     hubs = region.groupBy("pivot").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other").select("pivot", "hub")
@@ -347,7 +342,7 @@ def linked(nodes: DataFrame, percent: int, most: int = 2_000_000, levels: int =
     return out if len(found) == 1 else components(out).filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, *, text: str = "text", k: int = 5, percent: int = 80, most: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, text: str = "text", k: int = 5, percent: int = 80, most: int = 200_000) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document."""
     all_docs = materialise(members(docs, text, k), "members")
     bits = bucket_bits(all_docs.agg(F.sum("n_shingles")).first()[0] or 0)
