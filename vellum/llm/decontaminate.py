@@ -82,10 +82,10 @@ def matches(listed: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
     ranked = materialise(ranked.select("wid", "n", "off", "term", "k", "n_terms", "spare"), "windows")
 
     # Of the spare + 1 rarest terms one at least is there, so their postings give all candidates.
-    first = ranked.filter("k <= spare + 1").select("wid", "term", "off")
+    first = small(ranked.filter("k <= spare + 1").select("wid", "term", "off"))
     starts = listed.join(first, "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
     shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("shift")
-    wanted = starts.join(ranked.select("wid", "n", "n_terms", "spare", "off", "term"), "wid").select("row", "wid", "n", "n_terms", "spare", "start", "off", "term", shifts)
+    wanted = starts.join(small(ranked.select("wid", "n", "n_terms", "spare", "off", "term")), "wid").select("row", "wid", "n", "n_terms", "spare", "start", "off", "term", shifts)
     return (
         wanted.withColumn("pos", F.col("start") + F.col("off") + F.col("shift"))
         .join(listed, ["row", "pos", "term"])
