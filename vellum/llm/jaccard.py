@@ -29,12 +29,12 @@ from vellum.llm.common import materialise, release, slices, small
 from vellum.llm.components import components
 
 #: Postings that a bucket holds at most, on average: a task needs about 60 bytes for each.
-PER_BUCKET = 1_000_000
+PER_BUCKET = 2_000_000
 
 
 def bucket_bits(n_postings: int) -> int:
     """Upper bits by which shingles are dealt out, by the size of the corpus."""
-    return min(24, max(4, (max(1, n_postings) // PER_BUCKET).bit_length()))
+    return min(24, max(5, (max(1, n_postings) // PER_BUCKET).bit_length()))
 
 
 def window(n: np.ndarray, percent: int) -> np.ndarray:
