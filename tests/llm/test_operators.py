@@ -269,6 +269,23 @@ def test_jaccard_join_is_exact(spark, none, most):
         assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_postings_dont_grow_with_the_buckets(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(300)), "s") for i in range(400)]
+    sizes = []
+    for bits in (5, 10):
+        found = jaccard.postings(docs_of(spark, rows).coalesce(1), "text", 5, bits).toArrow()
+        sizes.append(sum(len(x.as_py()) for c in found.schema.names if found.schema.field(c).type == "binary" for x in found.column(c) if x.is_valid) / (400 * 296))
+    assert max(sizes) < 10 and sizes[1] < 1.2 * sizes[0]  # bytes a shingle; with nodes, sizes and counts in each bucket 10 bits took over 20
+
+
+def test_copies_of_many_batches_are_owned_once(spark):
+    text = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"]
+    rows = spark.createDataFrame([(None if i % 7 == 0 else i, text[i % 2]) for i in range(3000)], "doc_id bigint, text string").repartition(5)
+    got = jaccard.jaccard_components(rows).groupBy("component_id", "n_shingles").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 46, 1500), (2, 46, 1500)]
+
+
 def test_regions_are_exact():
     rng = random.Random(7)
     for size in (60, 400):
