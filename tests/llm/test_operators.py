@@ -172,6 +172,15 @@ def test_proximity_finds_edited_passages(spark):
     assert {r.n_near_items for r in decontaminate.decontaminate(d, b, slop=0).collect()} == {0}
 
 
+def test_a_term_is_sent_twice_at_most(spark):
+    listed = materialise(spark.range(200).selectExpr("0L AS row", "CAST(id AS int) AS pos", "id % 10 AS term"), "listed")
+    terms = materialise(spark.range(10).selectExpr("3L AS wid", "11 AS n", "CAST(id AS int) AS off", "id AS term"), "terms")
+    found = decontaminate.matches(listed, terms, 2)
+    assert {(r.start, r.exact) for r in found.collect()} == {(10 * i, True) for i in range(20)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(-2, 2" not in plan and "[-2,-1,0,1,2]" not in plan
+
+
 # 4
 
 

@@ -32,13 +32,16 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Windows of the items, one row for each distinct sequence of words: wid, n (words), terms array<struct<off, a, b>>, items array<string>."""
+    """Windows of the items, one row for each distinct sequence of words: wid, n (words), terms array<struct<off, a, b>>, items array<string>.
+
+    ``wid`` is a number, as it goes with every candidate; materialise the windows before they are used, so that it stays.
+    """
     item = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))))
     each = item.select("item", "w", start.alias("j")).select("item", F.slice("w", F.col("j") + 1, F.lit(size)).alias("w"))
     n = F.size("w")
     pair = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(i.alias("off"), F.get("w", i).alias("a"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("b")))
-    return each.groupBy("w").agg(F.collect_set("item").alias("items")).select(F.sha2(F.array_join("w", " "), 256).alias("wid"), n.alias("n"), pair.alias("terms"), "items")
+    return each.groupBy("w").agg(F.collect_set("item").alias("items")).select(F.monotonically_increasing_id().alias("wid"), n.alias("n"), pair.alias("terms"), "items")
 
 
 def terms_of(wins: DataFrame) -> DataFrame:
@@ -84,13 +87,14 @@ def matches(listed: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
     # Of the spare + 1 rarest terms one at least is there, so their postings give all candidates.
     first = small(ranked.filter("k <= spare + 1").select("wid", "term", "off"))
     starts = listed.join(first, "term").select("row", "wid", (F.col("pos") - F.col("off")).alias("start")).distinct()
-    shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("shift")
-    wanted = starts.join(small(ranked.select("wid", "n", "n_terms", "spare", "off", "term")), "wid").select("row", "wid", "n", "n_terms", "spare", "start", "off", "term", shifts)
+    # Places are cells of 2 * slop + 1 words: what is within slop of a place lies in two of them at most, so a candidate's terms are sent once or twice, not once for each shift.
+    cell = lambda at: F.floor(at / F.lit(2 * slop + 1)).cast("int")
+    place = F.col("start") + F.col("off")
+    wanted = starts.join(small(ranked.select("wid", "off", "term")), "wid").select("row", "wid", "start", "term", place.alias("at"), F.explode(F.sequence(cell(place - slop), cell(place + slop))).alias("cell"))
+    met = wanted.join(listed.withColumn("cell", cell(F.col("pos"))), ["row", "cell", "term"]).filter(F.abs(F.col("pos") - F.col("at")) <= slop)
+    counted = met.groupBy("row", "wid", "start").agg(F.count_distinct("at").alias("near"), F.count_if(F.col("pos") == F.col("at")).alias("in_place"))
     return (
-        wanted.withColumn("pos", F.col("start") + F.col("off") + F.col("shift"))
-        .join(listed, ["row", "pos", "term"])
-        .groupBy("row", "wid", "n", "n_terms", "spare", "start")
-        .agg(F.count_distinct("off").alias("near"), F.count_if(F.col("shift") == 0).alias("in_place"))
+        counted.join(small(ranked.filter("k = 1").select("wid", "n", "n_terms", "spare")), "wid")
         .filter(F.col("near") >= F.col("n_terms") - F.col("spare"))
         .select("row", "wid", "start", "n", (F.col("in_place") == F.col("n_terms")).alias("exact"))
     )
