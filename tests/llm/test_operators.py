@@ -278,6 +278,16 @@ def test_jaccard_join_is_exact(spark, none, most):
         assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_other_operators_vocabularies_are_dropped():
+    from vellum.llm import common
+
+    c = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    common.release("bpe")
+    assert c in bpe._codecs.values()
+    common.release()
+    assert not bpe._codecs
+
+
 def test_postings_dont_grow_with_the_buckets(spark):
     rng = random.Random(16)
     rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(300)), "s") for i in range(400)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vellum.llm.common import release, slices
+from vellum.llm.common import KEPT, release, slices
 
 # Unicode White_Space, which is what \s means to the reference pattern (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -168,7 +168,7 @@ class Codec:
         return self.bytes[at].tobytes()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = KEPT.setdefault("bpe", {})
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -206,6 +206,6 @@ def tokenise(df: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                     )
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(made[o], kinds[OUTPUTS[o]]) for o in outputs)], names=[*batch.schema.names[:-1], *outputs])
         c.known.clear()
-        release()
+        release("bpe")
 
     return narrow.mapInArrow(run, schema)
