@@ -241,3 +241,25 @@ def test_long_texts_and_all_turns_are_embedded(spark, sf):
     assert (vectors.hashed_words([long]) != vectors.hashed_words([long + " end" * 300])).any()
     turns = {r[0] for r in spark.read.parquet(f"{sf}/conversations.parquet").select(F.xxhash64("conv_id", "turn")).collect()}
     assert {r.query_id for r in catalogue.queries()["embed_search"](spark, sf).collect()} == turns
+
+
+def test_vectors_are_packed_once_and_words_hashed_once(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 11 == 0 else i % 5, (rng.integers(-3, 4, 6 if i % 4 else 3) + 0.5).tolist()) for i in range(300)] + [(None, 1, [1.0] * 6), (900, 1, None), (901, 1, [])]
+    v = spark.createDataFrame(rows, "id int, grp int, vec array<double>").repartition(3)
+    kept = [(i, g, np.array(x) / np.linalg.norm(x)) for i, g, x in rows if i is not None and x]
+    want = set()
+    for i, g, x in kept:
+        near = sorted((-round(float(x @ y), 12), j) for j, h, y in kept if len(y) == len(x) and (g is None or g != h))
+        want |= {(i, r + 1, j) for r, (s, j) in enumerate(near[:4]) if -s >= 0.6}
+    monkeypatch.setattr(vectors, "AT_ONCE", 3000)
+    found = vectors.knn(v, v, 4, threshold=0.6, block=40, parts=3, stream=16)
+    assert {(r.query_id, r["rank"], r.id) for r in found.collect()} == want
+    assert vectors.knn(v.limit(0), v, 4).count() == 0 and vectors.knn(v, v.limit(0), 4).count() == 0
+    assert vectors.blocks_of(v, 40).agg(F.sum("n")).first()[0] == len(kept)  # each vector lies there once, however many blocks it meets
+    vectors._hashes.clear()
+    made = []
+    monkeypatch.setattr(vectors.hashlib, "blake2b", lambda w, digest_size, own=vectors.hashlib.blake2b: made.append(w) or own(w, digest_size=digest_size))
+    assert vectors.hashed_words(["one two one", "two"]).shape == (2, 64) and sorted(made) == [b"one", b"two"]
