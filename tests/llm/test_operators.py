@@ -1,10 +1,13 @@
 """Each operator against a plain version of itself, and on odd input."""
 
+import ast
 import hashlib
+import importlib.util
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -419,6 +422,24 @@ def test_windows_are_small_on_clustered_vectors(spark):
     assert sum((r.query, r.node) in pairs for r in truth.collect()) >= 0.95 * 20 * len(q)
 
 
+def test_orders_are_merged(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((300, 6))
+    nodes = spark.createDataFrame([(i, r.tolist(), i % 20 == 0) for i, r in enumerate(x)], "node bigint, embedding array<double>, asked boolean")
+    shape = hilbert.Curves(x, float(np.sqrt((x**2).sum(1).max())), 3, 4, 5)
+    places = materialise(hilbert.placed(hilbert.ordered(nodes, shape, 6)), "places")
+    got = Counter((r.query, r.node) for r in hilbert.candidates(places, 400, 21, 6, 64).collect())
+    best = {(q, int(i)) for q in range(0, 300, 20) for i in np.argsort(-(x @ x[q]))[:21]}
+    assert best <= set(got) and set(got.values()) == {1} and len(got) < 15 * 100
+
+
+def test_names_that_kernels_import_exist():
+    root = Path(hilbert.__file__).parents[1]
+    late = [(p.name, importlib.import_module(n.module), a.name) for p in root.rglob("*.py") for n in ast.walk(ast.parse(p.read_text())) if isinstance(n, ast.ImportFrom) and (n.module or "").startswith("vellum") for a in n.names]
+    missing = [(p, m.__name__, name) for p, m, name in late if not hasattr(m, name) and not (hasattr(m, "__path__") and importlib.util.find_spec(f"{m.__name__}.{name}"))]
+    assert late and not missing
+
+
 def test_hilbert_curve_visits_neighbours():
     side = 8
     cells = np.array([(i, j) for i in range(side) for j in range(side)])

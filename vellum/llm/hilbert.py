@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import materialise, slices, small
+from vellum.llm.jaccard import runs_of
 
 U = np.uint64
 
@@ -125,6 +126,11 @@ def unpacked(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, 16:].view(np.int8) * head[:, :1], head[:, 1].copy()
 
 
+def numbers(rows: list[dict], name: str, kind: str) -> np.ndarray:
+    """The packed numbers of a column of rows, one after the other."""
+    return np.frombuffer(b"".join(r[name] for r in rows), kind)
+
+
 def hopeful(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
     """Places of the candidates that may be among the k best: all whose upper bound reaches the k-th largest lower one."""
     if len(low) <= k:
@@ -253,11 +259,9 @@ def candidates(places: DataFrame, window: int, k: int, width: int, block: int) -
     parts = dealt.select("curve", "block", "kind", "place", "node", "sketch").mapInArrow(rank, "query bigint, nodes binary, low binary, high binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from vellum.llm.jaccard import column, runs_of
-
         for query, rows in runs_of(batches, "query"):
-            nodes, first = np.unique(column(rows, "nodes", "<i8"), return_index=True)
-            keep = hopeful(column(rows, "low", "<f8")[first], column(rows, "high", "<f8")[first], k)
+            nodes, first = np.unique(numbers(rows, "nodes", "<i8"), return_index=True)
+            keep = hopeful(numbers(rows, "low", "<f8")[first], numbers(rows, "high", "<f8")[first], k)
             yield pa.RecordBatch.from_pydict({"query": pa.array(np.full(len(keep), query, np.int64)), "node": pa.array(nodes[keep])})
 
     return parts.repartition("query").sortWithinPartitions("query").mapInArrow(merge, "query bigint, node bigint")
