@@ -292,6 +292,30 @@ def test_other_operators_vocabularies_are_dropped():
     assert not bpe._codecs
 
 
+def test_codec_is_small():
+    import tracemalloc
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    tracemalloc.start()
+    try:
+        c = bpe.Codec(ranks, P.PATTERN)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert c.encode("a word")[1].size and held < 20 << 20  # each worker of an executor has one
+
+
+def test_memo_keeps_what_is_asked_for():
+    asked = []
+    m = bpe.Memo(lambda k: asked.append(k) or k, 10)
+    for i in map(str, range(200)):
+        assert m["often"] == "often" and m[i] == i and m["long" * 20] == "long" * 20
+        assert len(m) <= 10 and "long" * 20 not in m
+    assert asked.count("often") == 1 and 1 < len(m) + len(m.old) <= 10
+    m.clear()
+    assert not m and not m.old
+
+
 def test_postings_dont_grow_with_the_buckets(spark):
     rng = random.Random(16)
     rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(300)), "s") for i in range(400)]

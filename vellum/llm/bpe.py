@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -40,53 +41,65 @@ NEVER = 1 << 60
 
 
 class Memo(dict):
-    """A function's answers, at most ``keep`` of them at a time; keys over ``longest`` characters aren't kept, so its bytes are bounded too."""
+    """A function's answers, at most ``keep`` of them at a time; texts over ``longest`` characters aren't kept, so its bytes are bounded too.
+
+    When half of them are new, they become the old ones, and the old ones that nobody asked for since go: frequent keys stay.
+    """
 
     def __init__(self, f: Callable, keep: int, longest: int = 64):
         super().__init__()
-        self.f, self.keep, self.longest = f, keep, longest
+        self.f, self.keep, self.longest, self.old = f, keep, longest, {}
 
     def __missing__(self, key):
-        value = self.f(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.keep:
-                self.clear()
-            self[key] = value
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.f(key)
+            if isinstance(key, str) and len(key) > self.longest:
+                return value
+        if len(self) >= self.keep // 2:
+            self.old = dict(self)
+            super().clear()
+        self[key] = value
         return value
 
+    def clear(self):
+        super().clear()
+        self.old = {}
+
 
 class Codec:
-    """Encodes and decodes with one vocabulary; ``keep`` bounds each memo, which is emptied when full."""
+    """Encodes and decodes with one vocabulary; ``keep`` bounds each memo."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
         self.ranks, self.keep = ranks, keep
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?=[{SPACE}]|\\Z)").replace(r"\s", f"[{SPACE}]"))
-        self.size = {i: len(b) for b, i in ranks.items()}
-        self.word = {i: b for b, i in ranks.items()}
+        self.width = width = max(ranks.values()) + 1
+        self.word = [b""] * width
+        for entry, rank in ranks.items():
+            self.word[rank] = entry
         self.longest = max(map(len, ranks))
-        self.pairs = Memo(self.compatible, keep)
+        self.pairs = Memo(lambda pair: self.compatible(divmod(pair, width)), keep)  # a pair as one number takes half the memory
         self.known = Memo(self.match, keep)
         self.entries: dict[str, int] = {}
-        halves: dict[int, tuple[int, int]] = {}
+        self.halves = array("i", [-1]) * width, array("i", [-1]) * width  # what an entry is merged from
         for entry, rank in ranks.items():
             last = self.merged(entry, whole=False)
             if len(last) == 2:
-                halves[rank] = (last[0], last[1])
+                self.halves[0][rank], self.halves[1][rank] = last
             if len(last) < 3:  # others are never the outcome of merging
                 self.entries[entry.decode("latin-1")] = rank
-        # While an entry is built up, its last (first) part changes: each such part, when it appears and when it is gone.
-        self.tails = {i: self.parts(i, halves, 1) for i in self.size}
-        self.heads = {i: self.parts(i, halves, 0) for i in self.size}
         self.automaton = ahocorasick.Automaton()
         for entry, rank in self.entries.items():
             self.automaton.add_word(entry, rank)
         self.automaton.make_automaton()
-        width = max(self.size) + 1
-        self.lengths = np.zeros(width, np.int64)
-        for i, n in self.size.items():
-            self.lengths[i] = n
+        self.lengths = np.fromiter(map(len, self.word), np.int64, width)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.bytes = np.frombuffer(b"".join(self.word.get(i, b"") for i in range(width)), np.uint8)
+        self.bytes = np.frombuffer(b"".join(self.word), np.uint8)
+
+    @property
+    def size(self) -> dict[int, int]:
+        """The length of every entry."""
+        return {i: len(b) for b, i in self.ranks.items()}
 
     def merged(self, word: bytes, whole: bool = True) -> list[int]:
         """Rank-ordered merging of a short byte string, the definition that everything else must meet; not ``whole``: without a last merge."""
@@ -98,23 +111,23 @@ class Codec:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
-    def parts(self, entry: int, halves: dict[int, tuple[int, int]], side: int) -> list[tuple[bytes, int, int]]:
-        found, gone = [], NEVER
-        while True:
-            deeper = halves.get(entry)
-            found.append((self.word[entry], entry if deeper else -1, gone))
-            if not deeper:
-                return found
-            gone, entry = entry, deeper[side]
+    def parts(self, entry: int, side: int) -> list[tuple[bytes, int, int]]:
+        """While an entry is built up, its first (``side`` 0) or last (1) part changes: each such part, when it appears and when it is gone."""
+        found, gone, halves = [], NEVER, self.halves[side]
+        while (deeper := halves[entry]) >= 0:
+            found.append((self.word[entry], entry, gone))
+            gone, entry = entry, deeper
+        found.append((self.word[entry], -1, gone))
+        return found
 
     def compatible(self, pair: tuple[int, int]) -> bool:
         """Whether two entries can be neighbours in a result: no merge across their border comes first.
 
         Of merges with one rank the leftmost is done first, so the left part goes before such a merge.
         """
-        ranks = self.ranks
-        for a, born, gone in self.tails[pair[0]]:
-            for b, born_b, gone_b in self.heads[pair[1]]:
+        ranks, heads = self.ranks, self.parts(pair[1], 0)
+        for a, born, gone in self.parts(pair[0], 1):
+            for b, born_b, gone_b in heads:
                 if born < gone_b and born_b < gone and (across := ranks.get(a + b)) is not None and across < gone and across <= gone_b:
                     return False
         return True
@@ -123,7 +136,7 @@ class Codec:
         """Ids of one match of the pattern."""
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        n, entries, latin, pairs, most = len(word), self.entries, word.decode("latin-1"), self.pairs, self.longest
+        n, entries, latin, pairs, width, most = len(word), self.entries, word.decode("latin-1"), self.pairs, self.width, self.longest
         reach = self.automaton.longest_prefix
         taken: list[int] = []
         starts = [0]
@@ -132,7 +145,7 @@ class Codec:
         while (at := starts[-1]) < n:
             last, k = taken[-1] if taken else -1, lengths[-1]
             while k:
-                if (rank := entries.get(latin[at : at + k])) is not None and not dead[at + k] and (last < 0 or pairs[last, rank]):
+                if (rank := entries.get(latin[at : at + k])) is not None and not dead[at + k] and (last < 0 or pairs[last * width + rank]):
                     break
                 k -= 1
             if k:
