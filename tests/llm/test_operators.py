@@ -326,6 +326,22 @@ def test_postings_dont_grow_with_the_buckets(spark):
     assert max(sizes) < 10 and sizes[1] < 1.2 * sizes[0]  # bytes a shingle; with nodes, sizes and counts in each bucket 10 bits took over 20
 
 
+def test_sets_of_near_copies_arent_kept(spark, tmp_path, monkeypatch):
+    from vellum import shared
+
+    rng = random.Random(17)
+    base = [rng.randrange(10_000) for _ in range(400)]
+    rows = [(i, " ".join(f"w{x}" for x in [i, *base]), "s") for i in range(150)]
+    monkeypatch.setattr(shared, "shared_dir", lambda spark, tag: f"file://{tmp_path}/{tag}-{rng.random()}")
+    monkeypatch.setattr(jaccard, "IN_TURN", 40)
+    got = jaccard.jaccard_components(docs_of(spark, rows)).select("n_shingles", "component_id").distinct().collect()
+    assert [tuple(r) for r in got] == [(397, 0)]
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert written < 4 * 150 * 397  # bytes a shingle; with sets beside pivots and again beside blocks 9 and more
+    found = jaccard.postings(docs_of(spark, rows).coalesce(1), "text", 5, 5).toArrow()
+    assert sum(len(x.as_py()) for c in ("own", "low") for x in found.column(c) if x.is_valid) < 7.5 * 150 * 397
+
+
 def test_copies_of_many_batches_are_owned_once(spark):
     text = [" ".join(f"{c}{i}" for i in range(50)) for c in "ab"]
     rows = spark.createDataFrame([(None if i % 7 == 0 else i, text[i % 2]) for i in range(3000)], "doc_id bigint, text string").repartition(5)
