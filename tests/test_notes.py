@@ -263,3 +263,29 @@ def test_vectors_are_packed_once_and_words_hashed_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(vectors.hashlib, "blake2b", lambda w, digest_size, own=vectors.hashlib.blake2b: made.append(w) or own(w, digest_size=digest_size))
     assert vectors.hashed_words(["one two one", "two"]).shape == (2, 64) and sorted(made) == [b"one", b"two"]
+
+
+def test_best_are_those_of_double_precision(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=(900, 24)) + 2
+    c[1::3] = c[::3] + rng.normal(size=(300, 24)) * 1e-9  # apart by less than single precision tells
+    c[2::30] = c[::30]
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    q, ids, groups = c[:200], np.arange(900) * 7 % 900, np.arange(900) % 4
+    taken = []
+    own = vectors.Best.take
+    monkeypatch.setattr(vectors.Best, "take", lambda self, r, *x: taken.append(len(r)) or own(self, r, *x))
+    for threshold in (None, 0.9):
+        best = vectors.Best(200, 5, threshold)
+        for at in range(0, 900, 90):
+            part = slice(at, at + 90)
+            best.meet(q, c[part], ids[part], groups[part], lambda rows, part=part: groups[rows, None] == groups[None, part])
+        want = set()
+        for i in range(200):
+            score = np.einsum("ij,ij->i", np.broadcast_to(q[i], c.shape), c).round(12)
+            near = sorted((-s, j) for s, j, g in zip(score, ids, groups, strict=True) if g != groups[i] and s >= (threshold or -1))
+            want |= {(i, j, -s) for s, j in near[:5]}
+        assert set(zip(best.rows, best.ids, best.scores, strict=True)) == want
+    assert sum(taken) < 2 * 200 * 900 / 4
