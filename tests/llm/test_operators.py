@@ -5,6 +5,7 @@ import hashlib
 import importlib.util
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -766,3 +767,47 @@ def test_loser_tree():
     for k in (0, 1, 2, 3, 7, 64):
         runs = [sorted(rng.randrange(100) for _ in range(rng.randint(0, 20))) for _ in range(k)]
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
+
+
+def test_last_planes_are_compressed():
+    rng = np.random.default_rng(18)
+    for x in (rng.integers(0, 1024, 2000), rng.exponential(2**29, 2000).astype(np.int64), np.full(2000, 12), np.arange(20), np.zeros(0, np.int64), np.array([2**63]).astype(np.uint64), rng.integers(0, 2**63, 500)):
+        assert (jaccard.unplanes(jaccard.planes(x)) == x.astype(np.uint64)).all()
+    assert len(jaccard.planes(rng.integers(0, 1024, 2000))) < 1.5 * 2000  # two bytes each before
+    assert len(jaccard.planes(np.full(2000, 12))) < 100
+
+
+def test_shuffles_are_freed_as_soon_as_a_step_is_written(spark):
+    from vellum.llm import common
+
+    def held():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before = held()
+    common.materialise(spark.range(100_000).repartition(3, "id").groupBy(F.col("id") % 1000).count(), "step")
+    made = held() - before
+    assert made
+    common.swept(spark)
+    for _ in range(20):  # the cleaner has a thread of its own, which needs no other collection
+        if not made & held():
+            break
+        time.sleep(0.2)
+    assert not made & held()
+
+
+def test_many_dropped_rows_are_broadcast_as_bits(spark, monkeypatch):
+    from vellum.llm import common
+
+    n = 1_300_000
+    rows, dropped = spark.range(-200, n).withColumn("text", F.lit("x")), spark.range(-200, n).filter("id % 13 <> 5")
+    left = common.without(rows, dropped, "id")
+    assert left.columns == ["id", "text"] and "hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()  # texts of over a million dropped rows went through a shuffle
+    assert left.agg(F.count("id"), F.sum("id")).first()[:] == rows.filter("id % 13 = 5").agg(F.count("id"), F.sum("id")).first()[:]
+    ids = [-(2**63), -65, -64, -1, 0, 63, 64, 2**40, 2**63 - 1]
+    rows = spark.createDataFrame([(i, "t") for i in ids for _ in range(2)], "id bigint, text string")
+    for most in (1_000_000, 2, 1):  # one broadcast, several, a shuffle
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        for gone in ([], ids[::2], ids[1::2], ids, [*ids[:3], *ids[:3], 7]):
+            got = common.without(rows, spark.createDataFrame([(i,) for i in gone], "id bigint"), "id").collect()
+            assert sorted(r.id for r in got) == sorted(i for i in ids if i not in gone for _ in range(2))
