@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,35 @@ def test_encoder_splits_as_the_library_does():
         assert np.frombuffer(x, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_asks_for_a_word_once_whatever_stands_beside_it():
+    e, rng, asked = dac.Encoder(P.path("word_bpe_49k.json")), random.Random(4), []
+    learn = e.learn
+    e.learn = lambda new: (asked.extend(new), learn(new))[1]
+    stems = ["".join(rng.choice("aehinorst") for _ in range(8)) for _ in range(200)]
+    words = [f.format(w) for w in stems for f in ("{}", "({})", "{},", "{};", "so.{}", "12{}", "{}...", "?{}!")] + [w.upper() for w in stems]
+    rng.shuffle(words)
+    text = " ".join(words)
+    assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, e.kind).tobytes()]
+    assert len(asked) < 220
+
+
+@pytest.mark.parametrize(("step", "keep"), [(1 << 16, 1_300_000), (64, 300), (7, 40)])
+def test_encoder_is_the_library_on_odd_words(monkeypatch, step, keep):
+    monkeypatch.setattr(dac, "STEP", step)
+    e, rng = dac.Encoder(P.path("word_bpe_49k.json"), keep=keep), random.Random(step)
+    longer = ["a" * 14, "b" * 15, "c" * 16, "d" * 15 + "\0", "H̱", "Ḵ.", "ÉTÉ.", "<|endoftext|>", "don't", "WE'LL", "!'s", "привет, мир", "　中文　" * 4]
+    pool = [*"abHTK 019 \t\n\x1c\x1f\x85\xa0''sSmM.,;!?()|-_<\"\0\0\x7fÀßªº²Σςİй가̸́　​", *longer]
+    texts = [None if rng.random() < 0.02 else "".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    got = []
+    for at in range(0, len(texts), 300):
+        ids, sizes = e.ids(pa.array(["before", *texts[at : at + 300], "behind"]).slice(1, 300))
+        ends = np.cumsum(sizes).tolist()
+        assert len(ids) == ends[-1]
+        got += [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+    assert got == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert all(len(x) == 0 for x in e.ids(pa.array([], pa.string()))) and e.encode(["", " "]) == [b"", b""]
+
+
 # 3
 
 

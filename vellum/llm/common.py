@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.shared import materialise, shared_dir
 
-__all__ = ["KEPT", "free", "identified", "materialise", "release", "shared_dir", "slices", "small", "strings", "swept", "table", "without"]
+__all__ = ["KEPT", "free", "identified", "materialise", "release", "shared_dir", "slices", "small", "swept", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Texts of an Arrow column, null as empty."""
-    return [x or "" for x in column.to_pylist()]
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Smaller batches, of ``rows`` rows and about ``size`` bytes at most (or one row), so that what a kernel holds besides its input stays small."""
     for batch in batches:

@@ -18,15 +18,17 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, release, shared_dir, slices, strings
+from vellum.llm.common import materialise, release, shared_dir, slices
 
 MAGIC = b"VDAC0001"
 BLOCK = 512
@@ -39,6 +41,18 @@ ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <=
 #: Marks that are one match together wherever they follow letters.
 TAIL = ".,;:!?%$#&*|()"
 
+#: What a byte is, as bits: neighbours that share one stay together.
+LETTER, DIGIT, MARK, SPACE = 1, 2, 4, 8
+KINDS = np.array([SPACE if b in b"\t\n\v\f\r " else MARK if b in TAIL.encode() else DIGIT if b in b"0123456789" else LETTER if b < 128 and chr(b).isalpha() else LETTER | DIGIT | MARK for b in range(256)], np.uint8)
+#: Capital letters of ASCII as small ones.
+SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: The first n bytes of eight.
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: So many bytes of a word and their number are two integers.
+SHORT = 15
+#: So many words are looked up together.
+STEP = 1 << 16
+
 
 def pack(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels of (chunks, bitmap, rank directory); the last has no marks."""
@@ -119,68 +133,177 @@ class Reader:
         return value
 
 
+def cut(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sizes of the words of texts that begin at ``firsts``."""
+    kinds = KINDS[data]
+    starts = np.ones(len(data), bool)
+    np.equal(kinds[1:] & kinds[:-1], 0, out=starts[1:])
+    starts[firsts[firsts < len(data)]] = True
+    at = np.flatnonzero(starts)
+    sizes, word = np.diff(at, append=len(data)), kinds[at] != SPACE
+    return at[word], sizes[word]
+
+
+def keys(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words there as two integers, of their bytes and their size; ``data`` goes on for 16 bytes behind the last word's beginning."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    return eight[at] & BYTES[np.minimum(sizes, 8)], eight[at + 8] & BYTES[np.maximum(sizes - 8, 0)] | sizes.astype(np.uint64) << np.uint64(56)
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` numbers from each start on."""
+    ends = np.cumsum(counts)
+    out = np.repeat(starts - ends + counts, counts)
+    out += np.arange(len(out))
+    return out
+
+
 class Encoder:
-    """Ids of texts from a ``tokenizers`` file whose matches never cross white space; ids of words are memoised, ``keep`` words at most and one batch more."""
+    """Ids of texts from a ``tokenizers`` file whose matches never cross white space; ids of words are memoised, ``keep`` words at most and one step more.
+
+    Texts are cut between letters, digits, marks of TAIL and white space, all of ASCII: there the library's matches end too.  Any other character stays with its neighbours.
+    Words of SHORT bytes at most are two integers, equal for equal words only, in a hash table of arrays, so a step's words are looked up together.
+    """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
         self.keep = keep
         #: Ids go about in two bytes each where the vocabulary allows it.
         self.kind = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
-        self.code = "H" if self.kind == "<u2" else "I"
+        self.bits = ((keep + STEP) * 3 // 2).bit_length()
+        self.low, self.high, self.place = (np.zeros(1 << self.bits, np.uint64) for _ in range(3))
+        self.long: dict[bytes, bytes] = {}
+        self.tails: dict[str, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.high.fill(0)  # a slot without a word: words have a size
+        self.pool, self.filled, self.known = np.zeros(1 << 16, self.kind), 0, 0
+        self.long.clear()
+        self.tails.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as ``kind`` says."""
-        # str.split also splits at four control characters that Unicode doesn't call white space
-        split = [SPACES.split(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in map(lowered, texts)]
-        if len(self.words) > self.keep:
-            self.words.clear()
-        self.learn(set().union(*split) - self.words.keys())
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    def learn(self, new: set[str]) -> None:
-        """Ids of words that aren't known yet.
-
-        A run of Latin letters and the marks behind it are matches of their own, and lower-casing is what the library does first; so such words
-        share the ids of their letters, and their letters, byte by byte in its alphabet, go to the library's model at once.
+        ids, sizes = self.ids(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(sizes).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) behind each other, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        firsts = np.frombuffer(texts.buffers()[1], "<i8", n + 1, 8 * texts.offset) if n else np.zeros(1, np.int64)
+        size = int(firsts[-1] - firsts[0])
+        data = np.zeros(size + 16, np.uint8)
+        if size:
+            data[:size] = np.frombuffer(texts.buffers()[2], np.uint8, size, int(firsts[0]))
+        firsts = firsts - firsts[0]
+        at, sizes = cut(data[:size], firsts)
+        small, parts, counts = SMALL[data], [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for i in range(0, len(at), STEP):
+            part, count = self.step(data, small, at[i : i + STEP], sizes[i : i + STEP])
+            parts.append(part)
+            counts.append(count)
+        ends = np.cumsum(np.concatenate(counts))
+        return np.concatenate(parts), np.diff(ends[np.searchsorted(at, firsts)])
+
+    def step(self, data: np.ndarray, small: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words there behind each other, and how many each word has; ``small`` is ``data`` in small letters."""
+        if self.known > self.keep:
+            self.clear()
+        short = np.where(sizes > SHORT, 0, sizes)
+        low, high = keys(small, at, short)
+        # the library composes letters before it makes them small, so only words all of ASCII are made small here
+        other = np.flatnonzero((low | high) & np.uint64(0x8080808080808080))
+        low[other], high[other] = keys(data, at[other], short[other])
+        slots, new = self.find(low, high, np.flatnonzero(short))
+        base = int(at[0])
+        blob = data[base : at[-1] + sizes[-1]].tobytes()
+        bare = lambda these: [blob[a:b] for a, b in zip((at[these] - base).tolist(), (at[these] - base + sizes[these]).tolist(), strict=True)]
+        if len(new):
+            self.add(slots[new], self.learn([w.decode() for w in bare(new)]))
+        place, long = self.place[slots], np.flatnonzero(short == 0)
+        spelt = self.spell(bare(long))
+        starts, counts = (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        counts[long] = [len(x) // self.pool.itemsize for x in spelt]
+        begins = np.cumsum(counts) - counts
+        out = self.pool.take(spans(starts, counts), mode="clip")  # long words have no place in the pool
+        out[spans(begins[long], counts[long])] = np.frombuffer(b"".join(spelt), self.kind)
+        return out, counts
+
+    def find(self, low: np.ndarray, high: np.ndarray, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the words ``these``, and one of each word that wasn't there and has a slot from now on."""
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+        slots, last = (h >> np.uint64(64 - self.bits)).astype(np.int64), len(self.high) - 1
+        left, free, new = these, [], [these[:0]]
+        while len(left):
+            s = slots[left]
+            held = self.high[s]
+            left, empty = left[(held != high[left]) | (self.low[s] != low[left])], left[held == 0]
+            free.append(empty)
+            left = left[self.high[slots[left]] != 0]
+            slots[left] = slots[left] + 1 & last
+        left = np.concatenate([these[:0], *free])
+        while len(left):
+            ask = left[self.high[slots[left]] == 0]
+            self.place[slots[ask]] = ask  # one of those that ask for a slot gets it
+            got = ask[self.place[slots[ask]] == ask.astype(np.uint64)]
+            self.high[slots[got]], self.low[slots[got]] = high[got], low[got]
+            new.append(got)
+            s = slots[left]
+            left = left[(self.high[s] != high[left]) | (self.low[s] != low[left])]
+            slots[left] = slots[left] + 1 & last
+        return slots, np.concatenate(new)
+
+    def add(self, slots: np.ndarray, found: list[list[int]]) -> None:
+        """Keep the ids of the words that got these slots."""
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), self.kind, int(counts.sum()))
+        end = self.filled + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(end, self.kind)))
+        self.pool[self.filled : end] = ids
+        self.place[slots] = (self.filled + np.cumsum(counts) - counts << 32 | counts).astype(np.uint64)
+        self.filled, self.known = end, self.known + len(found)
+
+    def spell(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words over SHORT bytes, which may have white space that isn't ASCII's; each counts as many as it is long."""
+        parts = {w: [w] if (t := w.decode()).split() == [t] else [x.encode() for x in SPACES.split(t)] for w in set(words) - self.long.keys()}
+        new = list(set(chain.from_iterable(parts.values())) - self.long.keys())
+        self.long.update(zip(new, (array(self.pool.dtype.char, x).tobytes() for x in self.learn([w.decode() for w in new])), strict=True))
+        self.known += sum(1 + len(w) // SHORT for w in new)
+        return [self.long[w] if w not in parts else b"".join(map(self.long.__getitem__, parts[w])) for w in words]
+
+    def learn(self, new: list[str]) -> list[list[int]]:
+        """Ids of words from the library.
+
+        A run of Latin letters and the marks behind it are matches of their own, and lower-casing is what the library does first; so the letters,
+        byte by byte in its alphabet, go to the library's model at once.
         """
-        words, tokens, behind, whole = self.words, self.tokenizer.model.tokenize, [], []
-        for w in new:
-            core = w.rstrip(TAIL)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                core = core.lower()
-                if core not in words:
-                    words[core] = array(self.code, [t.id for t in tokens(core if core.isascii() else core.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
-                if core != w:
-                    behind.append((w, core, w[len(core) :]))
+        tokens, whole, out = self.tokenizer.model.tokenize, [], []
+        for i, w in enumerate(new):
+            if w.isascii() and w.isalpha():
+                out.append([t.id for t in tokens(w.lower())])
+            elif (core := w.rstrip(TAIL)).isalpha() and max(core) < "\u0100":
+                ids = [t.id for t in tokens(core.lower().encode().decode("latin-1").translate(ALPHABET))]
+                out.append(ids + self.tail(w[len(core) :]) if len(core) < len(w) else ids)
             else:
-                whole.append(w)
-        for w, core, tail in behind:
-            words[w] = words[core] + (self.tail(tail) if tail else b"")
+                whole.append(i)
+                out.append([])
         for at in range(0, len(whole), 4096):
             part = whole[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[word] = array(self.code, e.ids).tobytes()
-
-    def tail(self, marks: str) -> bytes:
-        if marks not in self.words:
-            self.words[marks] = array(self.code, self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
-        return self.words[marks]
-
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([new[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
-def lowered(text: str) -> str:
-    """Texts of Latin-1 in small letters, as the library makes them; others are left to it."""
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-    return text.lower()
+    def tail(self, marks: str) -> list[int]:
+        if marks not in self.tails:
+            self.tails[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+        return self.tails[marks]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -220,10 +343,13 @@ def encoded(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.kind).tobytes()
         for batch in slices(batches):
-            ids = [x + end for x in enc.encode(strings(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.kind] * len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "kind", "ids"])
+            ids, sizes = enc.ids(batch.column(1))
+            ends, n = np.cumsum(sizes), len(sizes)
+            ids = np.insert(ids, ends, end_id)
+            offsets = pa.array(np.concatenate(([0], ends + np.arange(1, n + 1))) * ids.itemsize, pa.int32())  # fails where they don't fit
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.kind] * n, pa.string()), packed], names=["doc_id", "kind", "ids"])
         release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, kind string, ids binary")
